@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing
+from . import bpe, line_dedup, mixing, near_dedup, pii
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
 TOKENIZERS = os.environ.get("LUMENSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -18,11 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, plain and disguised."""
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents by capped water-filling takes of each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that are spread over ten sites or more."""
     cleaned = line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
@@ -35,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_source_mixing, op8_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
