@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, pii
+from . import bpe, line_dedup, mixing, near_dedup, pii, secrets
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
 TOKENIZERS = os.environ.get("LUMENSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.summary(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, plain and disguised."""
     return pii.summary(table(spark, sf_dir, "documents"))
@@ -45,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
