@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, pii, secrets
+from . import bpe, line_dedup, mixing, near_dedup, pii, quality, secrets, toxicity
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
 TOKENIZERS = os.environ.get("LUMENSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +23,16 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a lexicon learned from the labels that aren't held out."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by weak supervision."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, plain and disguised."""
     return pii.summary(table(spark, sf_dir, "documents"))
@@ -50,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op3_toxicity, op4_quality_rules, op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
