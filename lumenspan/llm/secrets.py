@@ -227,7 +227,7 @@ def examples(seed: int = 5, count: int = 1400) -> list[list[tuple[list[str], int
     for _ in range(count):
         words, tags = [], []
         for _ in range(r.randint(1, 3)):
-            part = [prose() for _ in range(r.randint(1, 5))]
+            part = [prose() for _ in range(r.randint(0, 5))]
             words += part
             tags += [OUTSIDE] * len(part)
             found, tagged = secret() if r.random() < 0.45 else (decoy(), None)
