@@ -42,5 +42,21 @@ SELECT n.doc_id, coalesce(c.n_lines, 0) AS n_lines,
        CASE WHEN regexp_matches(coalesce(c.kept, ''), '[^\x20\x09-\x0D]') THEN c.hits ELSE 0 END AS n_removed,
        sha256(CASE WHEN regexp_matches(coalesce(c.kept, ''), '[^\x20\x09-\x0D]') THEN c.kept ELSE n.text END) AS text_sha256
 FROM numbered n LEFT JOIN cleaned c USING (r)
+""",
+    "op9_topk_search": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+lengths AS (SELECT doc_id, len(w) AS dl FROM words),
+totals AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
+asked AS (
+  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+scored AS (
+  SELECT a.query_id, p.doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) ORDER BY a.term), 6) AS score
+  FROM asked a JOIN postings p USING (term) JOIN frequency USING (term) JOIN lengths USING (doc_id) CROSS JOIN totals GROUP BY ALL)
+SELECT query_id, doc_id, rank, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored) WHERE rank <= 10
 """,
 }

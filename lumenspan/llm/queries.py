@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, pii, quality, secrets, toxicity
+from . import bpe, licenses, line_dedup, mixing, near_dedup, pii, quality, search, secrets, toxicity
+from .common import materialise
 
 #: Where the public tokenizer files are; a parameter of the queries that need one.
 TOKENIZERS = os.environ.get("LUMENSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +24,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices in all documents."""
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, by a lexicon learned from the labels that aren't held out."""
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,13 +60,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every passage of the benchmark whose id is divisible by 20."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return search.search(materialise(search.build(table(spark, sf_dir, "documents")), "index"), asked, 10)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of all documents."""
     return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", finish=bpe.DIGESTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_toxicity, op4_quality_rules, op5_personal_data, op6_source_mixing, op7_near_duplicates, op8_line_dedup, op10_bpe)}
+    every = (
+        op1_secrets, op2_licenses, op3_toxicity, op4_quality_rules, op5_personal_data,
+        op6_source_mixing, op7_near_duplicates, op8_line_dedup, op9_topk_search, op10_bpe,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
