@@ -6,39 +6,46 @@ splitting pattern matches none), so the ids of a text are those of its words, on
 after the other, and a word's ids don't depend on where it stands.
 
 1. Each block of texts (about ``BLOCK_CHARS`` characters of one map task) lists its
-   distinct words once: rows (word, block).
-2. The rows are dealt by word. Every distinct word is encoded once, and its ids are
-   turned into text through the id-to-piece table; the encoding goes back to each
-   block that holds the word: rows (block, word, ids, pieces).
-3. The texts travel to their block's dictionary compressed, and every position of a
-   text takes the ids of its word: a join by position inside the block.
-
-What moves is the distinct words of each block rather than all of them, and the
-texts once, compressed; no task holds more than a few blocks with their dictionaries,
-so memory doesn't grow with the corpus. A word that a third of all texts hold is one
-row per block. If a block is cut in another way when a lost task runs again, a word
-may miss in its dictionary; it is then encoded where it is missed, with the same ids.
+   distinct words once, sorted, dealt by hash into ``BUCKETS`` lists.
+2. The lists of one bucket, of all blocks, meet in one task, one after the other.
+   There every distinct word is encoded once; each list goes back to its block as the
+   list of its words' ids.
+3. The texts travel to their block compressed. There every word of the block gets its
+   ids, and its pieces from the id-to-piece table, and each position of a text takes
+   those of its word: a join by position inside the block.
+
+What moves is the distinct words of each block, not all its words, and the texts once,
+all compressed. No task holds more than one block, or the distinct words of one
+bucket. A word that a third of all texts hold is one entry per block. Should a lost
+task cut its blocks in another way when it runs again, the digest of a list differs
+from that of the words it is meant for, and those words are encoded on the spot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_thread
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 16_000_000
 #: Texts are packed into rows of about so many characters.
-PACK_CHARS = 1_000_000
-#: Words that are encoded in one call.
-ENCODE_BATCH = 4096
+PACK_CHARS = 2_000_000
+BUCKETS = 256
+#: Distinct words that a task remembers; beyond it, words are encoded again.
+MEMO = 4_000_000
 
 
 class WordEncoder:
@@ -51,12 +58,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = pieces_of(definition)
 
-    def __call__(self, words: list[str]) -> list[tuple[str, str]]:
-        """For each word its ids and its pieces, as texts with single spaces."""
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [(" ".join(map(str, ids)), " ".join(map(self.pieces.__getitem__, ids))) for ids in (x.ids for x in found)]
+    def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [tuple(x.ids) for x in found]
 
 
 def pieces_of(definition: str) -> list[str]:
@@ -72,7 +77,7 @@ def read_definition(path: str) -> str:
         return file.read()
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str | None, str]]]]:
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, str]]]]:
     """(block, [(key, text)...]) packs of a task's rows; a block is a run of packs of BLOCK_CHARS together."""
     task, block, in_block, pack, in_pack = TaskContext.get().partitionId(), 0, 0, [], 0
     for batch in batches:
@@ -89,28 +94,40 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield (task << 24) + block, pack
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(block, word): each block's distinct words."""
+def lists_of(words: set[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
+    """(bucket, sorted words, their digest) of a block's distinct words.
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[pa.RecordBatch]:
-            listed = sorted(found)
-            for i in range(0, len(listed), 50_000):
-                part = listed[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
+    bytes.split() leaves no word with a line feed, so that one can end each word.
+    """
+    dealt: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+    for word in sorted(words):
+        dealt[zlib.crc32(word) % BUCKETS].append(word)
+    for bucket, part in enumerate(dealt):
+        if part:
+            yield bucket, part, xxhash.xxh3_64_intdigest(b"\n".join(part)) >> 1
+
+
+def word_lists(docs: DataFrame) -> DataFrame:
+    """(bucket, block, words): each block's distinct words, one compressed list for each bucket."""
 
+    def rows(block: int, words: set[bytes]) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3)
+        lists = [(bucket, block, press.compress(b"\n".join(part))) for bucket, part, _ in lists_of(words)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lists, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "words"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, set()
         for block, pack in blocks_of(batches):
             if block != at and found:
-                yield from out()
+                yield rows(at, found)
                 found = set()
             at = block
             for _, text in pack:
                 found.update(text.encode().split())
         if found:
-            yield from out()
+            yield rows(at, found)
 
-    return docs.mapInArrow(over, "block long, word string")
+    return docs.mapInArrow(over, "bucket int, block long, words binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -128,35 +145,42 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(over, "block long, texts binary")
 
 
-def encode_words(words: DataFrame, definition: str) -> DataFrame:
-    """(block, word) with the word's ids and pieces; each distinct word is encoded once.
+def encode_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
+    """(block, bucket, digest, ids): the lists of words as lists of ids.
 
-    The rows are dealt and sorted by word, so that equal ones follow each other.
+    The lists of a bucket follow each other in one task, which encodes each distinct
+    word when it first comes.
     """
-    spark = words.sparkSession
-    sent = spark.sparkContext.broadcast(definition)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value)
-        last_word, last = None, ("", "")
+        encoder, bucket, known = WordEncoder(definition.value), None, {}
+        press, open_list = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
-            column = batch.column(1)
-            runs = column.dictionary_encode()
-            fresh = runs.dictionary.to_pylist()
-            start = 1 if fresh and fresh[0] == last_word else 0
-            coded = [last] * start
-            for i in range(start, len(fresh), ENCODE_BATCH):
-                coded += encoder(fresh[i : i + ENCODE_BATCH])
-            if fresh:
-                last_word, last = fresh[-1], coded[-1]
-            at = runs.indices
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), column, pa.array([x for x, _ in coded], pa.string()).take(at), pa.array([x for _, x in coded], pa.string()).take(at)],
-                ["block", "word", "ids", "pieces"],
-            )
-
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(over, "block long, word string, ids string, pieces string")
+            digests, blobs = [], []
+            for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if at != bucket or len(known) > MEMO:
+                    bucket, known = at, {}
+                plain = open_list.decompress(blob)
+                words = plain.split(b"\n")
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, encoder(fresh), strict=True))
+                ids = [known[w] for w in words]
+                lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+                # byte planes: the high bytes are mostly zero
+                blobs.append(press.compress(np.concatenate((lengths, flat)).view(np.uint8).reshape(-1, 4).T.tobytes()))
+                digests.append(xxhash.xxh3_64_intdigest(plain) >> 1)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(digests, pa.int64()), pa.array(blobs, pa.binary())], ["block", "bucket", "digest", "ids"])
+
+    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(over, "block long, bucket int, digest long, ids binary")
+
+
+def ids_in(blob: bytes, words: int) -> list[tuple[int, ...]]:
+    """The inverse of what encode_lists packs."""
+    numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    ends, flat = np.cumsum(numbers[:words]).tolist(), numbers[words:].tolist()
+    return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def digests(ids: str, pieces: str) -> tuple[int, str, str]:
@@ -181,34 +205,44 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     other than key and text are not read. The result's order is not defined.
     """
     make, fields = finish
-    definition = read_definition(tokenizer)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(definition)
+    sent = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer))
     pairs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    names = ["key", *(f.split()[0] for f in fields.split(", "))]
-    types = [pa.int64(), *({"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]] for f in fields.split(", "))]
-
-    def assemble(dictionary: pa.Table, packs: pa.Table) -> pa.Table:
-        ids = dict(zip(dictionary["word"].cast(pa.binary()).to_pylist(), dictionary["ids"].to_pylist(), strict=True))
-        pieces = dict(zip(ids, dictionary["pieces"].to_pylist(), strict=True))
-        encoder, open_pack, rows = None, zstandard.ZstdDecompressor(), []
-        for pressed in packs["texts"]:
-            pack = pa.ipc.open_stream(open_pack.decompress(pressed.as_py())).read_all()
-            for name, text in zip(pack["key"].to_pylist(), pack["text"].to_pylist(), strict=True):
-                words = text.encode().split()
-                try:
-                    row = make(" ".join(filter(None, map(ids.__getitem__, words))), " ".join(filter(None, map(pieces.__getitem__, words))))
-                except KeyError:
-                    encoder = encoder or WordEncoder(sent.value)
-                    missed = sorted({w for w in words if w not in ids})
-                    for word, (a, b) in zip(missed, encoder([w.decode() for w in missed]), strict=True):
-                        ids[word], pieces[word] = a, b
-                    row = make(" ".join(filter(None, map(ids.__getitem__, words))), " ".join(filter(None, map(pieces.__getitem__, words))))
-                rows.append((name, *row))
-        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
-
-    coded = encode_words(distinct_words(pairs), definition)
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([("key", pa.int64()), *((f.split()[0], kinds[f.split()[1]]) for f in fields.split(", "))])
+    tables: dict[str, list[str]] = {}
+
+    def assemble(lists: pa.Table, packs: pa.Table) -> pa.Table:
+        if "pieces" not in tables:
+            tables["pieces"] = pieces_of(sent.value)
+        piece, open_pack = tables["pieces"].__getitem__, zstandard.ZstdDecompressor()
+        given = {bucket: (digest, blob) for bucket, digest, blob in zip(*(lists[c].to_pylist() for c in ("bucket", "digest", "ids")), strict=True)}
+        texts = [pa.ipc.open_stream(open_pack.decompress(pressed.as_py())).read_all() for pressed in packs["texts"]]
+        distinct = set()
+        for pack in texts:
+            for t in pack["text"]:
+                distinct.update(t.as_py().encode().split())
+        ids, pieces = {}, {}
+        for bucket, words, digest in lists_of(distinct):
+            if given.get(bucket, (None,))[0] == digest:
+                found = ids_in(given[bucket][1], len(words))
+            else:
+                found = WordEncoder(sent.value)(words)
+            for word, coded in zip(words, found, strict=True):
+                ids[word] = " ".join(map(str, coded))
+                pieces[word] = " ".join(map(piece, coded))
+        # a word of invisible characters alone may have no token
+        drop = [w for w, x in ids.items() if not x]
+        rows = []
+        for pack in texts:
+            for name, t in zip(pack["key"].to_pylist(), pack["text"], strict=True):
+                words = t.as_py().encode().split()
+                if drop:
+                    words = [w for w in words if ids[w]]
+                rows.append((name, *make(" ".join(map(ids.__getitem__, words)), " ".join(map(pieces.__getitem__, words)))))
+        columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    coded = encode_lists(word_lists(pairs), sent)
     out = coded.groupBy("block").cogroup(packed(pairs).groupBy("block")).applyInArrow(assemble, f"key long, {fields}")
     return out.withColumnRenamed("key", key)
 
