@@ -42,7 +42,7 @@ def point_in_interval(spark, sf):
     s = spans(spark, sf)
     points = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a"), F.col("t0").alias("t"))
     errors = s.where("event_type = 'error'").select("user_id", F.col("event_id").alias("b"), F.col("t0").alias("b0"), (F.col("t0") + 7200).alias("b1"))
-    return intervals.point_join(points, errors, ["user_id"], 7200.0).select("user_id", "a", "b")
+    return intervals.point_join(points, errors, ["user_id"], 7200.0).select("user_id", "a", F.coalesce("b", F.lit(-1)).alias("b"))
 
 
 def as_of_value(spark, sf):
@@ -139,7 +139,7 @@ QUERIES = {
     "interval_overlap_score": (interval_overlap_score, f"WITH {_SIDES} SELECT user_id, a, b, round(least(1.0, shared / greatest(1.0, b1 - b0)), 4) AS score FROM pairs"),
     "argmax_overlap": (argmax_overlap, f"WITH {_SIDES} SELECT user_id, a, b, round(shared, 3) AS shared FROM pairs WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY user_id, a ORDER BY shared DESC, b DESC) = 1"),
     "point_in_interval": (point_in_interval, f"""
-WITH {SPANS} SELECT p.user_id, p.event_id AS a, min(e.event_id) AS b FROM spans p LEFT JOIN spans e ON e.user_id = p.user_id AND e.event_type = 'error' AND e.t0 <= p.t0 AND p.t0 < e.t0 + 7200
+WITH {SPANS} SELECT p.user_id, p.event_id AS a, coalesce(min(e.event_id), -1) AS b FROM spans p LEFT JOIN spans e ON e.user_id = p.user_id AND e.event_type = 'error' AND e.t0 <= p.t0 AND p.t0 < e.t0 + 7200
 WHERE p.event_type = 'purchase' GROUP BY ALL"""),
     "as_of_value": (as_of_value, f"""
 WITH {SPANS}, facts AS (SELECT user_id, t0, max(value) AS value FROM spans WHERE event_type = 'view' GROUP BY ALL)

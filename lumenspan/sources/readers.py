@@ -35,7 +35,7 @@ def files(spark: SparkSession, *paths: str) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
     rows = spark.read.format("binaryFile").load(list(paths)).select("path", T.file_name(F.col("path")).alias("name"), "content")
     rows = rows.withColumn("suffix", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)))
-    return rows.withColumn("kind", F.element_at(kinds, "suffix"))
+    return rows.withColumn("kind", F.element_at(kinds, F.col("suffix")))
 
 
 def docx_paragraphs(content: bytes) -> list[str]:
