@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 #: Hexadecimal digits that name a range of digests: 4096 ranges per source.
 RANGE_DIGITS = 3
@@ -67,33 +67,28 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, weights=cyclic
     digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), digits.alias("digest"))
     sized = sized.withColumn("range", F.substring("digest", 1, RANGE_DIGITS))
+    sized = materialise(sized, "sizes")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("below", F.coalesce(F.sum("range_size").over(below), F.lit(0)))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("below", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    share = water_fill(weights(sources), max_epochs).withColumn("epochs", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))))
-    share = share.select(
+    epochs = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs))))
+    share = water_fill(weights(sources), max_epochs).withColumn("epochs", epochs).select(
         F.col("source").alias("_source"), "source_size", "target",
         F.floor("epochs").alias("whole"), ((F.col("epochs") - F.floor("epochs")) * F.col("source_size")).alias("missing"),
     )
-    edges = ranges.select(F.col("source").alias("_source"), "range", "range_size", "below")
-    # the range in which a source's missing words end
-    border = (
-        edges.join(share, edges["_source"].eqNullSafe(share["_source"]))
-        .where((F.col("below") < F.col("missing")) & (F.col("below") + F.col("range_size") >= F.col("missing")))
-        .groupBy(edges["_source"].alias("_at")).agg(F.min(F.struct("range", "below")).alias("border"))
+    # what each range of each source gets; documents join by source and range, so that a large source is dealt over many tasks
+    plan = ranges.join(share, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "_source", F.col("range").alias("_range"), "source_size", "target", "whole", "missing", "below",
+        (F.col("below") + F.col("range_size") < F.col("missing")).alias("inside"), (F.col("below") >= F.col("missing")).alias("outside"),
     )
-    plan = share.join(border, share["_source"].eqNullSafe(border["_at"]), "left").drop("_at")
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["_source"])).drop("_source")
-    inside = F.coalesce(F.col("range") == F.col("border.range"), F.lit(False))
+    rows = sized.join(plan, sized["source"].eqNullSafe(plan["_source"]) & (sized["range"] == plan["_range"]))
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    whole = rows.where(~inside).select(
-        *columns, (F.col("whole") + F.coalesce(F.col("range") < F.col("border.range"), F.lit(False)).cast("long")).alias("repeats")
-    )
+    clear = rows.where("inside OR outside").select(*columns, (F.col("whole") + F.col("inside").cast("long")).alias("repeats"))
     running = Window.partitionBy("source").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("border.below") + F.sum("size").over(running) - F.col("size") / 2
-    parted = rows.where(inside).select(*columns, (F.col("whole") + (reached <= F.col("missing")).cast("long")).alias("repeats"))
-    return whole.unionByName(parted).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long"))
+    middle = F.col("below") + F.sum("size").over(running) - F.col("size") / 2
+    border = rows.where("NOT (inside OR outside)").select(*columns, (F.col("whole") + (middle <= F.col("missing")).cast("long")).alias("repeats"))
+    return clear.unionByName(border).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
@@ -104,6 +99,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """
     counts = mix(docs, **options).groupBy("doc_id", "source").agg(F.min("repeats").cast("int").alias("_repeats"))
     counts = counts.withColumnsRenamed({"doc_id": "_doc_id", "source": "_source_of"})
-    same = docs["doc_id"].eqNullSafe(counts["_doc_id"]) & docs["source"].eqNullSafe(counts["_source_of"])
-    rows = docs.join(counts, same).where("_repeats > 0")
-    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    same = F.col("row")["doc_id"].eqNullSafe(F.col("_doc_id")) & F.col("row")["source"].eqNullSafe(F.col("_source_of"))
+    rows = whole.join(counts, same).where("_repeats > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
