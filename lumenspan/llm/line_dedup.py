@@ -50,17 +50,20 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "sourc
     spread = spread_lines(rows.select("key", "site"), min_sites)
     hits = rows.select("_id", "_hash", "pos", "key").join(spread, "key", "left_semi")
     hits = hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("pos")).alias("_hits"))
-    with_hits = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left").drop("_id", "_hash")
-    with_lines = with_hits.withColumn("_lines", F.when(F.col("_hits").isNotNull(), lines))
+    # the row as one value: no column of docs can meet one of these steps
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    doc_id, text = F.col("row")["doc_id"], F.col("row")["text"]
+    found = whole.join(hits, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left").select("row", "_hits")
+    found = found.withColumn("lines", F.when(F.col("_hits").isNotNull(), F.split(text, "\n", -1)))
     # what stands between one removed line and the next
-    stops = F.concat(F.array(F.lit(-1)), F.col("_hits"), F.array(F.size("_lines")))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_hits")), lambda k: F.slice(F.col("_lines"), stops[k] + 2, stops[k + 1] - stops[k] - 1)))
-    with_kept = with_lines.withColumn("_kept", F.when(F.col("_hits").isNotNull(), F.array_join(kept, "\n")))
-    has_words = F.col("_kept").rlike(r"[^\x20\x09-\x0D]")
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return with_kept.withColumn("_use", F.coalesce(has_words, F.lit(False))).select(
+    stops = F.concat(F.array(F.lit(-1)), F.col("_hits"), F.array(F.size("lines")))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_hits")), lambda k: F.slice(F.col("lines"), stops[k] + 2, stops[k + 1] - stops[k] - 1)))
+    found = found.withColumn("kept", F.when(F.col("_hits").isNotNull(), F.array_join(kept, "\n")))
+    use = F.coalesce(F.col("kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return found.select(
         *others,
-        F.when(F.col("_use"), F.col("_kept")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size(F.filter(F.split(F.col("text"), "\n", -1), lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_use"), F.size("_hits")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(use, F.col("kept")).otherwise(text).alias("text"),
+        F.coalesce(F.size(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(use, F.size("_hits")).otherwise(0).cast("long").alias("n_removed"),
     )
