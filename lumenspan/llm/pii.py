@@ -109,8 +109,10 @@ _OPEN, _SHUT = r"[\[({<]\s?", r"\s?[\])}>]"
 _HINT = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}|@|\.){_SHUT}|\s{_DOT}\s", re.I)
 _BRACE = re.compile(r"[\[({<]")
 _BRACED = re.compile(rf"\s?{_OPEN}(?:({_AT}|@)|{_DOT}|\.){_SHUT}\s?", re.I)
+# The ends of addresses that prose with bare words for the signs must have.
+_ENDS = "com|org|net|edu|gov|info|io|dev|app|biz|eu|de|fr|es|uk|us|it|nl|ch|at|be|pl|se|ru|cn|jp|in|br|ca|au"
 _BARE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\s{_DOT}\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_BARE_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9_%+-]+)*(?:\s{_AT}\s|@)[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)+", re.I)
+_BARE_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9_%+-]+)*(?:\s{_AT}\s|@)[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)*(?:\s{_DOT}\s|\.)(?:{_ENDS})(?![A-Za-z0-9-])", re.I)
 _BARE = re.compile(rf"\s(?:({_AT})|{_DOT})\s", re.I)
 
 
