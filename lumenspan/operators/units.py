@@ -31,7 +31,9 @@ def word_windows(words: Column, chunk_tokens: int = 300, overlap_tokens: int = 6
 
 def chunked(docs: DataFrame, key: str = "doc_id", chunk_tokens: int = 300, overlap_tokens: int = 60) -> DataFrame:
     """Units of docs(doc_id, text, source): sliding windows of words, placed by document and window."""
-    windows = docs.select(F.col(key).alias("_doc"), "source", F.posexplode(word_windows(T.words(F.col("text")), chunk_tokens, overlap_tokens)).alias("chunk", "window"))
+    # the words are a column of their own: inside the windows' expression each window would split the text again
+    split = docs.select(F.col(key).alias("_doc"), "source", T.words(F.col("text")).alias("_words"))
+    windows = split.select("_doc", "source", F.posexplode(word_windows(F.col("_words"), chunk_tokens, overlap_tokens)).alias("chunk", "window"))
     return windows.select(
         (F.col("_doc") * PER_DOCUMENT + F.col("chunk")).alias("pos"),
         F.concat(F.col("source"), F.lit(":p"), F.col("_doc").cast("string"), F.lit(":t"), F.col("chunk").cast("string")).alias("id"),

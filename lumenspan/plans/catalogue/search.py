@@ -57,7 +57,9 @@ def recall_at_k(spark, sf):
     hits = found.select("qid", F.floor(F.col("pos") / (1 << 20)).cast("string").alias("id")).distinct()
     # a document that holds a passage holds its first words in a row: candidates by them, then the whole passage
     head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 4), " ")
-    grams = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("head"))
+    heads = F.broadcast(items.agg(F.collect_set(head(F.col("text"))).alias("heads")))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))
+    grams = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).join(heads).select("doc_id", "text", F.explode(F.array_intersect(runs, "heads")).alias("head"))
     asked = items.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), head(F.col("text")).alias("head"))
     gold = grams.join(asked, "head").where(F.contains("text", F.col("passage"))).select("qid", F.col("doc_id").cast("string").alias("id")).distinct()
     scored = evaluation.recall_precision(hits, gold)

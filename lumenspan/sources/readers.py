@@ -154,7 +154,8 @@ def spoken(conversations: DataFrame, seconds_per_word: float = 0.5) -> DataFrame
 
 def first_words(docs: DataFrame) -> DataFrame:
     """Windows of words of documents, as the DOCX reader cuts them."""
-    return docs.select("doc_id", F.posexplode(word_windows(T.words(F.col("text")))).alias("nth", "window"))
+    split = docs.select("doc_id", T.words(F.col("text")).alias("words"))
+    return split.select("doc_id", F.posexplode(word_windows(F.col("words"))).alias("nth", "window"))
 
 
 def page_range(units: DataFrame, first: int, last: int) -> DataFrame:
