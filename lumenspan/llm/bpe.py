@@ -8,8 +8,8 @@ after the other, and a word's ids don't depend on where it stands.
 1. Each block of texts (about ``BLOCK_CHARS`` characters of one map task) lists its
    distinct words once, sorted, dealt by hash into ``BUCKETS`` lists.
 2. The lists of one bucket, of all blocks, meet in one task, one after the other.
-   There every distinct word is encoded once; each list goes back to its block as the
-   list of its words' ids.
+   There every distinct word is encoded once; each list goes back to its block with its
+   words' ids.
 3. The texts travel to their block compressed. There every word of the block gets its
    ids, and its pieces from the id-to-piece table, and each position of a text takes
    those of its word: a join by position inside the block.
@@ -17,8 +17,8 @@ after the other, and a word's ids don't depend on where it stands.
 What moves is the distinct words of each block, not all its words, and the texts once,
 all compressed. No task holds more than one block, or the distinct words of one
 bucket. A word that a third of all texts hold is one entry per block. Should a lost
-task cut its blocks in another way when it runs again, the digest of a list differs
-from that of the words it is meant for, and those words are encoded on the spot.
+task cut its blocks in another way when it runs again, a block's lists may lack some of
+its words; those are encoded on the spot.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
@@ -40,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import one_thread
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 #: Texts are packed into rows of about so many characters.
 PACK_CHARS = 2_000_000
-BUCKETS = 256
+BUCKETS = 128
 #: Distinct words that a task remembers; beyond it, words are encoded again.
 MEMO = 4_000_000
 
@@ -94,8 +93,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield (task << 24) + block, pack
 
 
-def lists_of(words: set[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
-    """(bucket, sorted words, their digest) of a block's distinct words.
+def lists_of(words: set[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, sorted words) of a block's distinct words.
 
     bytes.split() leaves no word with a line feed, so that one can end each word.
     """
@@ -104,15 +103,15 @@ def lists_of(words: set[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
         dealt[zlib.crc32(word) % BUCKETS].append(word)
     for bucket, part in enumerate(dealt):
         if part:
-            yield bucket, part, xxhash.xxh3_64_intdigest(b"\n".join(part)) >> 1
+            yield bucket, part
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
     """(bucket, block, words): each block's distinct words, one compressed list for each bucket."""
 
     def rows(block: int, words: set[bytes]) -> pa.RecordBatch:
-        press = zstandard.ZstdCompressor(level=3)
-        lists = [(bucket, block, press.compress(b"\n".join(part))) for bucket, part, _ in lists_of(words)]
+        press = zstandard.ZstdCompressor(level=9)
+        lists = [(bucket, block, press.compress(b"\n".join(part))) for bucket, part in lists_of(words)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lists, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "words"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +133,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """(block, texts): the texts themselves, compressed in packs."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for block, pack in blocks_of(batches):
             table = pa.table({"key": pa.array([k for k, _ in pack], pa.int64()), "text": pa.array([t for _, t in pack], pa.large_string())})
             sink = pa.BufferOutputStream()
@@ -146,7 +145,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def encode_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
-    """(block, bucket, digest, ids): the lists of words as lists of ids.
+    """(block, words, ids): the lists of words with lists of their ids.
 
     The lists of a bucket follow each other in one task, which encodes each distinct
     word when it first comes.
@@ -154,14 +153,13 @@ def encode_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bucket, known = WordEncoder(definition.value), None, {}
-        press, open_list = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        press, open_list = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
         for batch in batches:
-            digests, blobs = [], []
+            blobs = []
             for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 if at != bucket or len(known) > MEMO:
                     bucket, known = at, {}
-                plain = open_list.decompress(blob)
-                words = plain.split(b"\n")
+                words = open_list.decompress(blob).split(b"\n")
                 fresh = [w for w in words if w not in known]
                 known.update(zip(fresh, encoder(fresh), strict=True))
                 ids = [known[w] for w in words]
@@ -169,11 +167,10 @@ def encode_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
                 # byte planes: the high bytes are mostly zero
                 blobs.append(press.compress(np.concatenate((lengths, flat)).view(np.uint8).reshape(-1, 4).T.tobytes()))
-                digests.append(xxhash.xxh3_64_intdigest(plain) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(digests, pa.int64()), pa.array(blobs, pa.binary())], ["block", "bucket", "digest", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("words"), pa.array(blobs, pa.binary())], ["block", "words", "ids"])
 
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(over, "block long, bucket int, digest long, ids binary")
+    return dealt.mapInArrow(over, "block long, words binary, ids binary")
 
 
 def ids_in(blob: bytes, words: int) -> list[tuple[int, ...]]:
@@ -215,30 +212,35 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         if "pieces" not in tables:
             tables["pieces"] = pieces_of(sent.value)
         piece, open_pack = tables["pieces"].__getitem__, zstandard.ZstdDecompressor()
-        given = {bucket: (digest, blob) for bucket, digest, blob in zip(*(lists[c].to_pylist() for c in ("bucket", "digest", "ids")), strict=True)}
-        texts = [pa.ipc.open_stream(open_pack.decompress(pressed.as_py())).read_all() for pressed in packs["texts"]]
-        distinct = set()
-        for pack in texts:
-            for t in pack["text"]:
-                distinct.update(t.as_py().encode().split())
-        ids, pieces = {}, {}
-        for bucket, words, digest in lists_of(distinct):
-            if given.get(bucket, (None,))[0] == digest:
-                found = ids_in(given[bucket][1], len(words))
-            else:
-                found = WordEncoder(sent.value)(words)
+        ids, pieces, encoder = {}, {}, None
+
+        def learn(words: list[bytes], found: list[tuple[int, ...]]) -> None:
             for word, coded in zip(words, found, strict=True):
                 ids[word] = " ".join(map(str, coded))
                 pieces[word] = " ".join(map(piece, coded))
+
+        for blob, coded in zip(lists["words"], lists["ids"], strict=True):
+            words = open_pack.decompress(blob.as_py()).split(b"\n")
+            learn(words, ids_in(coded.as_py(), len(words)))
         # a word of invisible characters alone may have no token
-        drop = [w for w, x in ids.items() if not x]
+        empty = "" in ids.values()
         rows = []
-        for pack in texts:
-            for name, t in zip(pack["key"].to_pylist(), pack["text"], strict=True):
-                words = t.as_py().encode().split()
-                if drop:
+        for pressed in packs["texts"]:
+            pack = pa.ipc.open_stream(open_pack.decompress(pressed.as_py())).read_all()
+            for name, t in zip(pack["key"].to_pylist(), pack["text"].to_pylist(), strict=True):
+                words = t.encode().split()
+                try:
+                    coded = " ".join(map(ids.__getitem__, words))
+                except KeyError:
+                    encoder = encoder or WordEncoder(sent.value)
+                    missed = list({w for w in words if w not in ids})
+                    learn(missed, encoder(missed))
+                    empty = "" in ids.values()
+                    coded = " ".join(map(ids.__getitem__, words))
+                if empty:
                     words = [w for w in words if ids[w]]
-                rows.append((name, *make(" ".join(map(ids.__getitem__, words)), " ".join(map(pieces.__getitem__, words)))))
+                    coded = " ".join(map(ids.__getitem__, words))
+                rows.append((name, *make(coded, " ".join(map(pieces.__getitem__, words)))))
         columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -251,14 +253,14 @@ def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
     """(key, decoded) for rows of (key, ids): a join of every id with its piece, put together by position.
 
     The id-to-piece table is as large as the vocabulary, whatever the data, and is
-    broadcast. Rows with equal keys are told apart by their ids; equal rows give one.
+    broadcast. Rows with equal keys are told apart by a hash of their ids; equal rows give one.
     An id outside the vocabulary, or a null one, gives no piece; null ids give null.
     """
     spark = encoded.sparkSession
     table = spark.createDataFrame(list(enumerate(pieces_of(read_definition(tokenizer)))), "id int, piece string")
-    rows = encoded.select(key, "ids").distinct()
-    placed = rows.select(key, "ids", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    texts = placed.groupBy(key, "ids").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("placed"))
-    texts = texts.select(F.col(key).alias("_key"), F.col("ids").alias("_ids"), F.array_join(F.transform("placed", lambda x: x["piece"]), " ").alias("decoded"))
-    joined = rows.join(texts, rows[key].eqNullSafe(texts["_key"]) & (rows["ids"] == texts["_ids"]), "left")
-    return joined.select(key, F.when(rows["ids"].isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
+    rows = encoded.select(F.col(key).alias("key"), F.xxhash64("ids").alias("hash"), "ids").dropDuplicates(["key", "hash"])
+    placed = rows.select("key", "hash", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
+    texts = placed.groupBy("key", "hash").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("placed"))
+    texts = texts.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), F.array_join(F.transform("placed", lambda x: x["piece"]), " ").alias("decoded"))
+    joined = rows.join(texts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash")), "left")
+    return joined.select(F.col("key").alias(key), F.when(F.col("ids").isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
