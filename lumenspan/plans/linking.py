@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment, graph, links
 
 
-def link_corpus(audio: DataFrame, slides: DataFrame, texts: DataFrame, figures: DataFrame, found: DataFrame, mode: str = "linkrag", penalties: alignment.Penalties = alignment.Penalties(), z: float | None = 1.27, least: float | None = None, threshold: float = 0.5) -> DataFrame:
+def link_corpus(audio: DataFrame, slides: DataFrame, texts: DataFrame, figures: DataFrame, found: DataFrame, mode: str = "linked", penalties: alignment.Penalties = alignment.Penalties(), z: float | None = 1.27, least: float | None = None, threshold: float = 0.5) -> DataFrame:
     """Links(src_id, dst_id, link_type, score) of a corpus.
 
     audio(pair, i, id, text, embedding) and slides(pair, j, id, text, embedding) hold
@@ -17,11 +17,11 @@ def link_corpus(audio: DataFrame, slides: DataFrame, texts: DataFrame, figures:
     """
     cells = alignment.hybrid_similarity(audio, slides).persist()
     gates = alignment.related(cells, penalties, z) if z is not None else None
-    path = alignment.abstained(alignment.monotone(cells, penalties) if mode == "linkrag" else alignment.naive(cells), cells, least)
+    path = alignment.abstained(alignment.monotone(cells, penalties) if mode == "linked" else alignment.naive(cells), cells, least)
     aligned = links.aligned_links(path, audio, slides, gates)
     scores = links.figure_text_scores(figures, texts)
     near = links.figure_text(scores, threshold, same_page_only=mode == "baseline")
-    where = links.slide_map(aligned.withColumn("nth", F.lit(0)), slides) if mode == "linkrag" else None
+    where = links.slide_map(aligned.withColumn("nth", F.lit(0)), slides) if mode == "linked" else None
     pointed = links.deictic(found, figures, where)
-    parts = [aligned, near.drop("why"), links.same_slide(figures, texts, enabled=mode == "linkrag"), pointed.select(*links.LINK)]
+    parts = [aligned, near.drop("why"), links.same_slide(figures, texts, enabled=mode == "linked"), pointed.select(*links.LINK)]
     return graph.union_all([p.select(*links.LINK) for p in parts])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, ranking, selection
 
-MODES = ("baseline", "linkrag", "iterative", "linkrag_iter")
+MODES = ("baseline", "linked", "iterative", "linked_iter")
 
 
 @dataclass(frozen=True)
@@ -75,19 +75,19 @@ class Corpus:
         """(qid, id, score, nth) of a mode, cut to the pool's size."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}: one of {MODES}")
-        k = s.k_seed if s.expansion == "evict" and mode.startswith("linkrag") else s.top_k
+        k = s.k_seed if s.expansion == "evict" and mode.startswith("linked") else s.top_k
         if mode.endswith("iter") or mode == "iterative":
             seeds = self.iterative(questions, s, propose)
         else:
-            seeds = self.hybrid(questions, s, k if mode == "linkrag" else s.pool)
-        out = self.followed(seeds, s) if mode.startswith("linkrag") else seeds
+            seeds = self.hybrid(questions, s, k if mode == "linked" else s.pool)
+        out = self.followed(seeds, s) if mode.startswith("linked") else seeds
         return out.where(F.col("nth") <= s.pool).select("qid", "id", "score", "nth")
 
     def chosen(self, mode: str, method: str, questions: DataFrame, s: Settings = Settings(), propose=None, gate: bool = False) -> DataFrame:
         """(qid, id, rank): a mode's pool after set selection. Only link modes let selection see links."""
         pool = self.pool(mode, questions, s, propose)
         described = pool.join(self.units.select("id", "modality", "embedding"), "id")
-        edges = graph.candidate_edges(pool, self.links) if mode.startswith("linkrag") and self.links is not None else None
+        edges = graph.candidate_edges(pool, self.links) if mode.startswith("linked") and self.links is not None else None
         return selection.select(described, s.top_k, method, edges, gate=gate)
 
 

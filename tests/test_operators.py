@@ -96,7 +96,7 @@ def test_retrieval_finds_what_only_links_reach(spark):
     q = q.join(ranking.hash_bag(q, "qid", "text"), "qid")
     corpus, s = retrieval.Corpus(u, e), retrieval.Settings(top_k=5)
     plain = [r.id for r in corpus.chosen("baseline", "none", q, s).collect()]
-    linked = [r.id for r in corpus.chosen("linkrag", "none", q, s).collect()]
+    linked = [r.id for r in corpus.chosen("linked", "none", q, s).collect()]
     assert "u0" in plain and "u12" not in plain and "u12" in linked
     asked = []
 
