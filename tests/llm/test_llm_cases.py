@@ -83,8 +83,10 @@ def test_near_duplicates_of_the_cases(docs):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, (1, 3, 4, 5, None, 6, 7, 8, 8, 9)))
 
 
-def test_chains_and_hubs(spark):
-    """A chain whose ends differ, and a hub whose copies differ from each other, are one component each."""
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_chains_and_hubs(spark, monkeypatch, tile):
+    """A chain whose ends differ, and a hub whose copies differ from each other, are one component each, however buckets are cut."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     base = [f"t{i}" for i in range(120)]
     hub = [(100, " ".join(base))] + [(101 + k, " ".join("z%d_%d" % (k, i) if i in (5 + k * 7, 60 + k * 5) else w for i, w in enumerate(base))) for k in range(8)]
     words = [f"c{i}" for i in range(60)]
@@ -102,6 +104,26 @@ def test_chains_and_hubs(spark):
     assert len({got[d] for d, _ in hub}) == 1 and len({got[d] for d, _ in chain}) == 1
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_edited_copies_without_their_source(spark, monkeypatch, tile):
+    """Copies of an absent text, about as unlike each other as a link allows: each pair's link is found or isn't one."""
+    import random
+
+    from test_llm_queries import components
+
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    r = random.Random(11)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for k in range(60):
+        words = base[:]
+        for i in r.sample(range(150), r.randint(2, 6)):
+            words[i] = f"e{k}_{i}"
+        rows.append((k, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c) in components(rows).items()}
+
+
 def test_quality_of_the_cases(docs):
     got = {(r.doc_id, r.n_words): r for r in quality.judged(docs).collect()}
     assert got[3, 0].base_failed and got[5, 0].word_chars == 0 and not got[4, 0].kept
@@ -174,8 +196,6 @@ def test_secret_pruning_is_exact():
 
     model = secrets.trained()
     tagger, r = secrets.Tagger(model), random.Random(2)
-    for names in secrets.examples(99, 120):
-        del names
     parts = ["the", "Word,", "pwd", "=", "x9K2mQ7zL4pR8sT1", "12", "secret:", "ABC!!", "Bearer", "token", "a.b", "|", "sha256", "3f2a9c1d8e3f2a9c1d8e"]
     for _ in range(300):
         words = [r.choice(parts) for _ in range(r.randint(1, 14))]
