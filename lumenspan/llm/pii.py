@@ -101,18 +101,21 @@ _DIGIT_OF = {lang: {w: str(i) for i, names in enumerate(table) for w in names.sp
 _WORDS = {lang: "|".join(sorted(table, key=len, reverse=True)) for lang, table in _DIGIT_OF.items()}
 _RUNS = {lang: re.compile(rf"(?<!\w)(?:(?:plus|más|mas)\s)?(?:{w})(?:{_GAP}(?:{w}|[0-9])){{{RUN - 1},}}(?!\w)", re.I) for lang, w in _WORDS.items()}
 _ONE = {lang: re.compile(rf"(plus|más|mas)|({w})|([0-9])", re.I) for lang, w in _WORDS.items()}
-_ANY_RUN = re.compile(rf"\W(?:{'|'.join(_WORDS.values())}){_GAP}(?:{'|'.join(_WORDS.values())})[ ,.-]")
+# Whatever a run of one language matches, this matches too.
+_ANY_WORD = "|".join(_WORDS.values())
+_ANY_RUN = re.compile(rf"(?<!\w)(?:{_ANY_WORD})(?:{_GAP}(?:{_ANY_WORD}|[0-9])){{{RUN - 1}}}", re.I)
 _ODD = re.compile(f"[{INVISIBLE}{''.join(LOOK_ALIKES)}！-～٠-٩۰-۹०-९]")
 _AT = r"(?:at|ät|arroba|arobase)"
 _DOT = r"(?:dot|punkt|punto|point)"
 _OPEN, _SHUT = r"[\[({<]\s?", r"\s?[\])}>]"
-_HINT = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}|@|\.){_SHUT}|\s{_DOT}\s", re.I)
-_BRACE = re.compile(r"[\[({<]")
 _BRACED = re.compile(rf"\s?{_OPEN}(?:({_AT}|@)|{_DOT}|\.){_SHUT}\s?", re.I)
 # The ends of addresses that prose with bare words for the signs must have.
 _ENDS = "com|org|net|edu|gov|info|io|dev|app|biz|eu|de|fr|es|uk|us|it|nl|ch|at|be|pl|se|ru|cn|jp|in|br|ca|au"
 _BARE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\s{_DOT}\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_BARE_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9_%+-]+)*(?:\s{_AT}\s|@)[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)*(?:\s{_DOT}\s|\.)(?:{_ENDS})(?![A-Za-z0-9-])", re.I)
+_HOST = rf"[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)*(?:\s{_DOT}\s|\.)(?:{_ENDS})(?![A-Za-z0-9-])"
+_BARE_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9_%+-]+)*(?:\s{_AT}\s|@){_HOST}", re.I)
+# Whatever _BRACED, _BARE_MAIL and _BARE_IP rewrite, this matches a part of.
+_HINT = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}|@|\.){_SHUT}|\s{_DOT}\s|\s{_AT}\s{_HOST}", re.I)
 _BARE = re.compile(rf"\s(?:({_AT})|{_DOT})\s", re.I)
 
 
@@ -152,10 +155,15 @@ def plain(m: re.Match) -> list[tuple[str, int, int]]:
     return [(c, m.start(), m.end())]
 
 
+def folded(word: str) -> str:
+    """A word in lower case, with the forms of letters that a pattern without case takes for them (\u017f, \u0131, \u0130)."""
+    return word.upper().lower().replace("i\u0307", "i")
+
+
 def digits(lang: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
     def write(m: re.Match) -> list[tuple[str, int, int]]:
         parts = _ONE[lang].finditer(m.string, m.start(), m.end())
-        return [("+" if p[1] else _DIGIT_OF[lang][p[2].lower()] if p[2] else p[3], p.start(), p.end()) for p in parts]
+        return [("+" if p[1] else _DIGIT_OF[lang][folded(p[2])] if p[2] else p[3], p.start(), p.end()) for p in parts]
 
     return write
 
@@ -173,28 +181,29 @@ def bare(m: re.Match) -> list[tuple[str, int, int]]:
     return out + [(m.string[i], i, i + 1) for i in range(at, m.end())]
 
 
-def shows(text: str) -> tuple[bool, bool]:
-    """Whether a text may hold spelled digits, and disguised signs."""
-    lower = f" {text.lower()}"
-    signs = _BRACE.search(lower) or any(w in lower for w in ("dot", "punkt", "punto", "point"))
-    return bool(_ANY_RUN.search(lower)), bool(signs and _HINT.search(text))
+def spelled(text: str) -> bool:
+    """Whether a text may hold spelled digits."""
+    return bool(_ANY_RUN.search(text))
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold disguised signs."""
+    return bool(_HINT.search(text))
 
 
 def disguised(text: str) -> list[S.Span]:
     """Identifiers in the rewritten text, as spans of the source."""
     odd = not text.isascii() and bool(_ODD.search(text))
-    spelled, hinted = shows(text)
-    if not (odd or spelled or hinted):
+    if not (odd or spelled(text) or hinted(text)):
         return []
     tape, runs = Tape(text), []
     if odd:
         tape.rewrite(_ODD, plain)
-        spelled, hinted = shows(tape.text)
-    if hinted:
+    if hinted(tape.text):
         tape.rewrite(_BRACED, undisguised)
         tape.rewrite(_BARE_MAIL, bare)
         tape.rewrite(_BARE_IP, bare)
-    if spelled:
+    if spelled(tape.text):
         for lang in SPELLED:
             if _RUNS[lang].search(tape.text):
                 for m in _RUNS[lang].finditer(tape.text):

@@ -251,6 +251,22 @@ def test_bpe_round_trip(spark, docs):
     assert again == {(d, x) for d, _, x in expected}
 
 
+def test_personal_data_gates_lose_nothing(monkeypatch, duck):
+    """Every text gives the same spans when each transducer runs as when a search decides whether it does."""
+    texts = [
+        "write to jane.doe at example.com today", "jane.doe AT mail dot example.com", "jane at example dot com", "jane@example dot com", "see 10.1 dot 2.3 now",
+        "five 5 one 2 three 4 six 7 eight 9 two", "five [dot] 5 [dot] one [dot] 2 [dot] three [dot] 4 [dot] six [dot] 7 [dot] eight [dot] 9", "ſix 1 2 3 4 5 6 7 8 9 1",
+        "plus Un deux 3 quatre 5 six 7 8 neuf 1 2", "jаne.doe at example.com", "look at the picture. It costs one 5", "",
+    ]
+    texts += [t for (t,) in duck.execute("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()]
+    gated = [pii.scanner(t) for t in texts]
+    monkeypatch.setattr(pii, "spelled", lambda text: True)
+    monkeypatch.setattr(pii, "hinted", lambda text: True)
+    assert gated == [pii.scanner(t) for t in texts]
+    assert gated[0][1] == [(pii.EMAIL, 9, 32)]
+    assert gated[5][1] == [(pii.PHONE, 0, len(texts[5]))]
+
+
 def test_search_is_exact(spark):
     import math
     import random
