@@ -7,12 +7,14 @@ trained by the driver on sequences made here from a seed, whose secrets are of m
 known forms and whose other tokens are prose, numbers, checksums, addresses and other
 things that look like secrets.
 
-Almost all words of a text are plain: words of letters, whose features say nothing of
-their neighbours, and for which being outside beats the other tags by more than any
-transitions around them can make up. The best sequence is outside there, so it falls
-into independent stretches between such words, and only those are decoded. That is
-the exact result, found without running the recursion over every word. A file with a
-block of a key in it is decoded in full.
+Almost all words of a text are plain: words of letters for which being outside beats
+the other tags by more than any transitions around them can make up. The features of
+a short word of letters say nothing of its neighbours, unless it stands after a cue, a
+sign or an open name; such words, and long, joined or mixed ones, have all features, and
+each is held against that bound where it stands. The best sequence is outside at plain
+words, so it falls into independent stretches between them, and only those are decoded.
+That is the exact result, found without running the recursion over every word. A file
+with a block of a key in it is decoded in full.
 """
 
 from __future__ import annotations
@@ -62,6 +64,8 @@ DECOYS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid id etag
 _LETTERS = re.compile(r"[^\w]*(?:[^\W\d_]{1,40}(?:['’-][^\W\d_]{1,40})*[^\w]*)?")
 # str.split() and this pattern agree on what white space is but for U+001C to U+001F, which split() alone takes.
 _WORDS = re.compile(r"[^\s\x1c-\x1f]+")
+_MIXED = re.compile(r"[a-z][A-Z].*[a-z][A-Z]")
+SIGNS = ("=", ":", "is", "->", "=>")
 _CORE = re.compile(r"""^[\["'`({<,;]*|[\]"'`)}>,;.!?:]*$""")
 _KEY = re.compile(r"^[A-Za-z_.-]{2,40}[\"']?\s?(?:=|:(?!//))[\"']?")
 _USER = re.compile(r"^[a-z][a-z0-9+.-]*://[^/\s:@]+:([^/\s@]+)@")
@@ -76,16 +80,33 @@ def core(word: str) -> tuple[int, int]:
     if m := _USER.match(word[a:b]):
         return a + m.start(1), a + m.end(1)
     if m := _KEY.match(word[a:b]):
-        if a + m.end() < b:
+        if word[a + m.end() : b].strip("="):
             a += m.end()
     return a, b
 
 
+#: What joins the letters of one word.
+MARKS = "-'’"
+
+
+def unusual(word: str) -> bool:
+    """Whether a word of letters is long, joined twice or of mixed case, as prose seldom is."""
+    return len(word) >= 16 or sum(map(word.count, MARKS)) >= 2 or bool(_MIXED.search(word))
+
+
+def opens(word: str) -> bool:
+    """Whether a secret may come after a word: a cue, a sign or an open name."""
+    return word[-1] in "=:" or word in SIGNS or word.lower().strip("\"'`:=,;.()[]{}<>") in CUES
+
+
 def letters(word: str) -> tuple[str, ...]:
     """Features of a word of letters; there are few combinations of them."""
     bare = word.strip("\"'`:=,;.()[]{}<>").lower()
     kind = "lower" if word.islower() else "upper" if word.isupper() else "other"
     found = ("bias", "letters", f"letters {kind}")
+    if unusual(word):
+        turns = sum(x.islower() and y.isupper() for x, y in zip(word, word[1:], strict=False))
+        found += ("unusual", f"letters length {min(len(bare) // 8, 5)}", f"joined {min(sum(map(bare.count, MARKS)), 3)}", f"case turns {min(turns // 2, 4)}")
     if bare in CUES or bare in DECOYS:
         found += ("cue" if bare in CUES else "decoy",)
     return found + ("ends open",) if word[-1] in "=:" else found
@@ -152,10 +173,12 @@ def beside(word: str | None) -> str:
         return "cue open" if word[-1] in "=:" else "cue"
     if lower in DECOYS:
         return "decoy"
-    if word in ("=", ":", "is", "->", "=>"):
+    if word in SIGNS:
         return "sign"
     a, b = core(word)
     body = word[a:b]
+    if word[-1] in "=:" and body.isalpha():
+        return "open"
     return "plain" if body.isalpha() else "long" if len(body) >= 24 and any(map(str.isdigit, body)) else "other"
 
 
@@ -166,9 +189,9 @@ def file_features(text: str) -> list[str]:
 
 
 def features(words: list[str], t: int, whole: list[str]) -> list[str]:
-    """All features of a word. Those of letters have neighbours only in a file with a block."""
+    """All features of a word. Usual ones of letters have neighbours only after a word that opens, or in a file with a block."""
     own = shape(words[t])
-    if own[1:2] == ["letters"] and whole[1] == "file block 0":
+    if own[1:2] == ["letters"] and whole[1] == "file block 0" and not unusual(words[t]) and not (t and opens(words[t - 1])):
         return [*own, whole[1]]
     if whole[1] == "file block 1":
         own = [f"{n} near block" for n in own]
@@ -191,6 +214,9 @@ def examples(seed: int = 5, count: int = 1400) -> list[list[tuple[list[str], int
         word = word.title() if form < 0.15 else word.upper() + "!!" if form < 0.2 else word
         return word + (r.choice(",.;:!?") if r.random() < 0.15 else r.choice(["###", "$$$", "%%%", "&&&", "***"]) if r.random() < 0.05 else "")
 
+    def word() -> str:
+        return "".join(r.choice(parts[:-4]) for _ in range(r.randint(1, 4)))
+
     def decoy() -> list[str]:
         return r.choice([
             lambda: [r.choice(["commit", "sha256", "md5:", "checksum", "digest:", "etag"]), draw(hexed, 7, 64)],
@@ -205,6 +231,9 @@ def examples(seed: int = 5, count: int = 1400) -> list[list[tuple[list[str], int
             lambda: [f"{draw(string.ascii_lowercase, 3, 8)}_{draw(string.ascii_lowercase, 3, 8)}({draw(string.ascii_lowercase, 1, 4)})"],
             lambda: [f"{prose()}-{prose()}"], lambda: [f"{prose()}.{prose()}"], lambda: [f"{prose()}.{prose()}!!".upper()], lambda: [prose() + prose() + prose()], lambda: ["|", prose(), "|"], lambda: [prose() + draw(string.digits, 1, 3)],
             lambda: [f"{draw(string.ascii_uppercase, 2, 4)}-{draw(string.digits, 3, 6)}"],
+            lambda: [r.choice(["the", "a", "your"]), r.choice(["password", "passphrase", "token", "secret", "key", "authorization"]), "is", word()],
+            lambda: [word(), "is", prose()], lambda: [f"{word()}:", prose()], lambda: [r.choice(["basic", "private", "access", "key"]), word()],
+            lambda: [prose().lower() + "".join(word().title() for _ in range(r.randint(1, 4)))], lambda: ["-".join(word() for _ in range(r.randint(3, 4)))],
         ])()
 
     def secret() -> tuple[list[str], list[int]]:
@@ -218,6 +247,10 @@ def examples(seed: int = 5, count: int = 1400) -> list[list[tuple[list[str], int
             lambda: [f"{r.choice(['postgres', 'mysql', 'https', 'redis'])}://{draw(string.ascii_lowercase, 3, 8)}:{draw(mixed, 8, 24)}@{draw(string.ascii_lowercase, 3, 8)}.example.com/{draw(string.ascii_lowercase, 2, 6)}"],
             lambda: ["-----BEGIN", "RSA", "PRIVATE", "KEY-----", *(draw(mixed + "+/", 40, 64) for _ in range(r.randint(1, 4))), "-----END", "RSA", "PRIVATE", "KEY-----"],
             lambda: [draw(mixed, 32, 44)],
+            lambda: [r.choice(["pwd", "passphrase", "credentials", "password"]), r.choice(["is", ":", "="]), quote("-".join(word() for _ in range(r.randint(3, 6))))],
+            lambda: [r.choice(["pwd:", "passphrase:", "password:", "passwd:", "pwd="]), quote(r.choice(["-".join(word() for _ in range(r.randint(3, 6))), draw(string.ascii_lowercase, 16, 28)]))],
+            lambda: [r.choice(["pwd", "passphrase", "password"]), r.choice(["is", ":", "="]), quote(draw(string.ascii_lowercase, 16, 28))],
+            lambda: [*r.choice([["Bearer"], ["Authorization:", "Basic"], ["token", ":"], ["secret_key", "="]]), draw(string.ascii_letters, 20, 39) + r.choice(["", "=", "=="])],
         ])()
         if words[0].startswith("-----"):
             return words, [BEGIN] + [INSIDE] * (len(words) - 1)
@@ -253,43 +286,64 @@ class Tagger:
 
     def __init__(self, model: crf.Model) -> None:
         self.model = model
-        self.plain: set[str] = set()
+        self.plain, self.other, self.openers = set[str](), set[str](), set[str]()
         self.kinds: dict[tuple[str, ...], bool] = {}
         # the most that the transitions around a word can add to each tag against outside
         moves = np.vstack((model.moves, model.first))
         self.gain = np.array([(moves[:, k] - moves[:, OUTSIDE]).max() + max(0.0, (model.moves[k] - model.moves[OUTSIDE]).max()) for k in range(len(model.first))])
 
-    def is_plain(self, word: str) -> bool:
-        """Whether a word is outside whatever stands beside it, in a file without a block."""
-        if not _LETTERS.fullmatch(word) or _FENCE.match(word):
-            return False
-        names = letters(word)
+    def outside(self, names: tuple[str, ...]) -> bool:
+        """Whether a word of these features is outside whatever its neighbours' tags are."""
         if names not in self.kinds:
-            own = self.model.emission([*names, "file block 0"])
+            if len(self.kinds) > self.MEMO:
+                self.kinds.clear()
+            own = self.model.emission(names)
             self.kinds[names] = bool((own[OUTSIDE] - own[BEGIN:] > self.gain[BEGIN:]).all())
         return self.kinds[names]
 
+    def is_plain(self, word: str) -> bool:
+        """Whether a word is outside after any word that doesn't open, in a file without a block."""
+        if not _LETTERS.fullmatch(word) or _FENCE.match(word) or unusual(word):
+            return False
+        return self.outside((*letters(word), "file block 0"))
+
+    def doubts(self, words: list[str], whole: list[str]) -> list[bool]:
+        """For each word of a text, whether it has to be decoded; an empty list where none has."""
+        if whole[1] != "file block 0":
+            return [True] * len(words)
+        distinct = set(words)
+        new = distinct - self.plain - self.other
+        if len(self.plain) + len(self.other) + len(new) > self.MEMO:
+            self.plain, self.other, self.openers, new = set(), set(), set(), distinct
+        for w in new:
+            (self.plain if self.is_plain(w) else self.other).add(w)
+            if opens(w):
+                self.openers.add(w)
+        doubtful, openers = distinct & self.other, distinct & self.openers
+        if not doubtful and not openers:
+            return []
+        out, after = [], False
+        for t, w in enumerate(words):
+            doubt = w in doubtful
+            if (after or doubt) and (_LETTERS.fullmatch(w) and not _FENCE.match(w)):
+                doubt = not self.outside(tuple(features(words, t, whole)))
+            out.append(doubt)
+            after = w in openers
+        return out if any(out) else []
+
     def __call__(self, text: str) -> list[tuple[int, int]]:
         words, whole = text.split(), file_features(text)
-        if whole[1] == "file block 0":
-            doubtful = set(words).difference(self.plain)
-            new = [w for w in doubtful if self.is_plain(w)]
-            doubtful.difference_update(new)
-            if len(self.plain) + len(new) > self.MEMO:
-                self.plain.clear()
-            self.plain.update(new)
-        else:
-            doubtful = set(words)
+        doubtful = self.doubts(words, whole)
         if not doubtful:
             return []
         spans, t = [], 0
         places = [m.start() for m in _WORDS.finditer(text)]
         while t < len(words):
-            if words[t] not in doubtful:
+            if not doubtful[t]:
                 t += 1
                 continue
             end = t
-            while end < len(words) and words[end] in doubtful:
+            while end < len(words) and doubtful[end]:
                 end += 1
             emissions = np.array([self.model.emission(features(words, i, whole)) for i in range(t, end)])
             tags = self.model.decode(emissions, OUTSIDE if t else None, OUTSIDE if end < len(words) else None)

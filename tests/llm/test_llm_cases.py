@@ -267,6 +267,30 @@ def test_personal_data_gates_lose_nothing(monkeypatch, duck):
     assert gated[5][1] == [(pii.PHONE, 0, len(texts[5]))]
 
 
+def test_secrets_of_letters_beside_cues():
+    """Words of letters can be secrets where a cue stands before them, and pruning changes no verdict on them."""
+    import random
+
+    import numpy as np
+
+    tagger = secrets.Tagger(secrets.trained())
+    for before, secret in (("passphrase is ", "correct-horse-battery-staple"), ("pwd: ", "hunterwinterspring"), ("Authorization: Basic ", "aBcDeFgHiJkLmNoPqRsTuVwXyZ==")):
+        text = f"then {before}{secret} and so on"
+        assert [text[a:b].rstrip("=") for a, b in tagger(text)] == [secret.rstrip("=")]
+    for text in ("the password is required here", "Die Datenschutzgrundverordnung ist neu", "call getElementById now", "a state-of-the-art thing", "the key is understanding"):
+        assert tagger(text) == []
+    r = random.Random(3)
+    words = "the is = : pwd: passphrase password token Bearer Basic hunterwinterspring correct-horse-battery-staple aBcDeFgHiJkLmNoPqRsTuVwXyZ== Word name: x7 required".split()
+    for _ in range(300):
+        drawn = [r.choice(words) for _ in range(r.randint(1, 12))]
+        text = " ".join(drawn)
+        whole = secrets.file_features(text)
+        tags = tagger.model.decode(np.array([tagger.model.emission(secrets.features(drawn, t, whole)) for t in range(len(drawn))]))
+        starts = [m.start() for m in secrets._WORDS.finditer(text)]
+        begun = {starts[i] + secrets.core(drawn[i])[0] for i, t in enumerate(tags) if t == secrets.BEGIN}
+        assert {a for a, _ in tagger(text)} == begun
+
+
 def test_search_is_exact(spark):
     import math
     import random
