@@ -48,6 +48,21 @@ def quoted_answers(evidence: DataFrame, questions: DataFrame, most: int = 3, cha
     return best.withColumn("nth", order).where(F.col("nth") <= most).select("qid", "nth", F.substring("sentence", 1, chars).alias("text"), "id")
 
 
+def quoted_from_all(units: DataFrame, questions: DataFrame, most: int = 3, chars: int = 220) -> DataFrame:
+    """quoted_answers of every question from all units(rank, id, content), with distinct ids.
+
+    Sentences meet only the questions that they share terms with, by a join on terms.
+    """
+    terms = lambda text: F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("_t")
+    sentences = units.select("rank", "id", F.posexplode(T.premises(F.col("content"))).alias("_n", "sentence"))
+    met = sentences.select("rank", "id", "_n", terms("sentence")).join(questions.select("qid", terms("question")), "_t")
+    scored = met.groupBy("qid", "rank", "id", "_n").agg(F.count("*").alias("_s"))
+    best = scored.groupBy("qid", "rank", "id").agg(F.min(F.struct((-F.col("_s")).alias("_s"), "_n")).alias("_b"))
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("_b._s", "rank", "id"))
+    chosen = best.withColumn("nth", order).where(F.col("nth") <= most).select("qid", "nth", "id", F.col("_b._n").alias("_n"))
+    return chosen.join(sentences.select("id", "_n", "sentence"), ["id", "_n"]).select("qid", "nth", F.substring("sentence", 1, chars).alias("text"), "id")
+
+
 def quotable(claim: Column, text: Column) -> Column:
     """The offline judge: a claim is supported if the text holds it word for word."""
     return T.span_in_text(claim, text)

@@ -96,8 +96,8 @@ def exclusive_terms(spark, sf):
 
 
 def prompt_batches(spark, sf):
-    """Prompts by model, first fit into batches of 20,000 characters and 10 items."""
-    docs = table(spark, sf, "documents").where("n_chars <= 20000").select("lang", "doc_id", "n_chars")
+    """Prompts by model, first fit into batches of 20,000 characters and 10 items; a longer prompt is a batch of its own."""
+    docs = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
     b = segments.first_fit(docs, "lang", "doc_id", "n_chars", 20_000, 10)
     return b.groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
