@@ -18,8 +18,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialise
 
 #: Bounds of the labelled sample a model is fitted to: texts of either label, the first by a hash of their id.
 TOXIC_SAMPLE, OTHER_SAMPLE = 2000, 3000
@@ -184,8 +184,8 @@ def _candidates(sample: DataFrame) -> list[str]:
     return [r.entry for r in clear.orderBy(F.desc(F.col("toxic") - 4 * F.col("other")), "entry").limit(CANDIDATES).select("entry").collect()]
 
 
-def _contexts(sample: DataFrame, candidates: list[str]) -> dict[str, dict[int, Counter]]:
-    """Of each candidate, the contexts by label, with the number of texts that have each."""
+def _contexts(sample: DataFrame, candidates: list[str]) -> DataFrame:
+    """(entry, toxic, before, word, after) of the candidates, each context of an entry and label once."""
     wanted = frozenset(candidates)
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,13 +199,22 @@ def _contexts(sample: DataFrame, candidates: list[str]) -> dict[str, dict[int, C
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.string()] * 3), strict=True)], ["entry", "toxic", "before", "word", "after"])
 
-    rows = map_batches(sample, over, "entry string, toxic int, before string, word string, after string")
-    # an entry's contexts count up to a bound that is far above what decides
-    spread = rows.distinct().groupBy("entry", "toxic").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set(F.struct("before", "word", "after"))), 1, 200).alias("some"))
-    found: dict[str, dict[int, Counter]] = defaultdict(lambda: {0: Counter(), 1: Counter()})
-    for r in spread.collect():
-        found[r.entry][r.toxic] = Counter({(x.before, x.word, x.after): 1 for x in r.some}) | Counter({None: r.n})
-    return found
+    return map_batches(sample, over, "entry string, toxic int, before string, word string, after string").distinct()
+
+
+def _spread(contexts: DataFrame) -> dict[str, tuple[int, int]]:
+    """Of each entry, the number of its toxic and of its other contexts."""
+    counted = contexts.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    return {r.entry: (r.a, r.b) for r in counted.collect()}
+
+
+def _excused(contexts: DataFrame, chosen: Iterable[str]) -> list[str]:
+    """The phrases of chosen entries that clean contexts have often enough and toxic ones don't: a toxic use counts against ten clean ones."""
+    names = F.broadcast(contexts.sparkSession.createDataFrame([(e,) for e in chosen], "entry string"))
+    pairs = F.explode(F.array_distinct(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after")))).alias("phrase")
+    phrases = contexts.join(names, "entry").select("toxic", pairs).where("phrase NOT LIKE ' %' AND phrase NOT LIKE '% '")
+    counted = phrases.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, -10).otherwise(1)).alias("k"))
+    return sorted(r.phrase for r in counted.where(F.col("k") >= LEAST_TEXTS).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -220,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         total = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
         if not total.get(1):
             return Lexicon()
-        found = _contexts(sample, _candidates(sample))
-        n = {e: (by[1][None], by[0][None]) for e, by in found.items()}
+        contexts = materialise(_contexts(sample, _candidates(sample)), "contexts")
+        n = _spread(contexts)
         ratio = math.log((total.get(0, 0) + 1) / total[1])
         weight = {e: math.log(a + 0.5) - math.log(b + 0.5) + ratio for e, (a, b) in n.items()}
         share = total[1] / (total[1] + total.get(0, 0) + 1)
@@ -232,14 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 entry = max(longer, key=narrowness)
             if not any(entry == c or c.endswith("*") and entry.startswith(c[:-1]) for c in chosen):
                 chosen[entry] = weight[entry]
-        excused = Counter()
-        for entry in chosen:
-            for label, sign in ((0, 1), (1, -10)):
-                for context in found[entry][label]:
-                    if context:
-                        before, word, after = context
-                        excused.update({p: sign for p in (f"{before} {word}", f"{word} {after}") if not p.startswith(" ") and not p.endswith(" ")})
-        learned = tuple(sorted(p for p, k in excused.items() if k >= LEAST_TEXTS))
+        learned = tuple(_excused(contexts, chosen))
         lexicon = Lexicon(chosen, EXCEPTIONS + learned)
         return _fit_curve(sample, lexicon)
     finally:

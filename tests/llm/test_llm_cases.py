@@ -291,6 +291,18 @@ def test_secrets_of_letters_beside_cues():
         assert {a for a, _ in tagger(text)} == begun
 
 
+def test_toxic_uses_count_wherever_they_sort(spark):
+    """A phrase of many toxic contexts isn't learned as an exception, however late its contexts sort."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [(i, f"a{name(i)} zorgit b{name(i)}", 1) for i in range(300)] + [(1000 + i, f"you zorgit b{name(i)}", 1) for i in range(20)]
+    rows += [(2000 + i, f"you zorgit c{name(i)}", 0) for i in range(4)] + [(2100 + i, f"our zorgit c{name(i)}", 0) for i in range(4)]
+    rows += [(3000 + i, f"plain words {name(i)} of no harm at all and nothing else", 0) for i in range(400)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    lexicon = toxicity.fit(docs, labels(spark, [(d, 1, x) for d, _, x in rows]))
+    assert any(e.startswith("zorg") for e in lexicon.weights)
+    assert "our zorgit" in lexicon.exceptions and "you zorgit" not in lexicon.exceptions
+
+
 def test_search_is_exact(spark):
     import math
     import random
