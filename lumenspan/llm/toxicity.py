@@ -3,14 +3,20 @@
 Texts and lexicon are folded alike: lower case, without accents, look-alike letters of
 other scripts and digit or sign substitutions as the letters they stand for. The
 lexicon's entries, whole words and beginnings of words, and the exception phrases
-that excuse them, are matched in one pass of an Aho-Corasick automaton. The weights
-of the hits that no exception covers are added up and normalised by the text's
-length; a logistic curve turns that into a score between 0 and 1.
+that excuse them, are matched in one pass of an Aho-Corasick automaton.
+
+An entry has a weight, the logarithm of how many times more often toxic texts hold it
+than others, and a rate, its uses for each word of the toxic texts that hold it. The
+uses of an entry are normalised by the text's length: what counts is how far they
+exceed what clean words of that number would have by chance (Entry.excess). The sum
+over entries goes through a logistic curve to a score between 0 and 1.
 
 The lexicon, its weights, the exceptions and the curve are learned from labelled
 texts. A word's evidence is the number of different contexts (word before, word
 after) it occurs in, in toxic and in other texts: a word that only copies of one text
-share has few contexts however many the copies.
+share has few contexts however many the copies. Where toxic texts are many in one
+language and few in another, all words of the first would look toxic; so a word's
+share of toxic contexts is held against the share that the words beside it have.
 """
 
 from __future__ import annotations
@@ -32,12 +38,12 @@ from .common import map_batches, materialise
 
 #: Bounds of the labelled sample a model is fitted to: texts of either label, the first by a hash of their id.
 TOXIC_SAMPLE, OTHER_SAMPLE = 2000, 3000
-#: Most lexicon candidates that go from the sample's counts to the driver.
-CANDIDATES = 20_000
 #: Letters that a lexicon entry for the beginning of a word has.
 BEGINNINGS = range(4, 9)
-#: Least texts, log-odds and log-likelihood ratio (G squared) of a lexicon entry.
-LEAST_TEXTS, LEAST_WEIGHT, LEAST_EVIDENCE = 3, 2.5, 30.0
+#: Least toxic texts, weight and log-likelihood ratio (G squared) of a lexicon entry: the last is 5.5 deviations, for tens of thousands of words are tried.
+LEAST_TEXTS, LEAST_WEIGHT, LEAST_EVIDENCE = 2, 1.6, 30.0
+#: Clean contexts of a phrase, and none toxic, that make it an exception.
+LEAST_EXCUSES = 3
 THRESHOLD = 0.3
 #: Phrases in which words of such lexicons mean no offence. A fixed list, extended by what is learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "rodeo clown", "circus clown", "sore loser", "pathetic fallacy", "pond scum")
@@ -72,56 +78,83 @@ def fold(text: str) -> str:
     return lower.translate(TABLE)
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A word, or the beginning of one if its name ends in "*", with its weight and its rate in toxic texts that hold it."""
+
+    weight: float
+    rate: float = 0.005
+
+    def excess(self, uses: int, words: int) -> float:
+        """Log-likelihood ratio of so many uses among so many words, not below 0.
+
+        In a clean text they are a Poisson variable of the rate divided by exp(weight).
+        How often a toxic text uses an entry varies much from text to text: its own rate
+        is exponential with the entry's rate as the mean, which makes uses geometric.
+        """
+        expected, clean = words * self.rate, words * self.rate * math.exp(-self.weight)
+        return max(0.0, math.lgamma(uses + 1) - math.log1p(expected) + uses * (self.weight - math.log1p(expected)) + clean)
+
+
 @dataclass
 class Lexicon:
-    """weights: entry -> weight, where an entry is a word, or the beginning of one if it ends in "*"."""
-
-    weights: dict[str, float] = field(default_factory=dict)
+    entries: dict[str, Entry] = field(default_factory=dict)
     exceptions: tuple[str, ...] = EXCEPTIONS
     slope: float = 1.0
     offset: float = -3.0
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        found = ahocorasick.Automaton()
-        for phrase in self.exceptions:
-            found.add_word(fold(phrase), (0.0, len(fold(phrase)), False))
-        for entry, weight in self.weights.items():
-            begins = entry.endswith("*")
-            found.add_word(entry.rstrip("*"), (weight, len(entry.rstrip("*")), begins))
-        if not len(found) or not self.weights:
+        """Words and phrases lead to (entry or None for an exception, length, whether it is the beginning of a word); one text may be several of these."""
+        if not self.entries:
             return None
+        named: dict[str, list[tuple[str | None, int, bool]]] = {}
+        for phrase in self.exceptions:
+            named.setdefault(fold(phrase), []).append((None, len(fold(phrase)), False))
+        for entry in self.entries:
+            word = entry.rstrip("*")
+            named.setdefault(word, []).append((entry, len(word), entry.endswith("*")))
+        found = ahocorasick.Automaton()
+        for word, meanings in named.items():
+            found.add_word(word, meanings)
         found.make_automaton()
         return found
 
 
-def hits(automaton: ahocorasick.Automaton, folded: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, weight) of entries at the beginning of a word, whole words where asked; exceptions weigh 0."""
-    for last, (weight, length, begins) in automaton.iter(folded):
-        start, end = last - length + 1, last + 1
-        if (start == 0 or not folded[start - 1].isalpha()) and (begins or end == len(folded) or not folded[end].isalpha()):
-            yield start, end, weight
+def hits(automaton: ahocorasick.Automaton, folded: str) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, entry) of entries at the beginning of a word, whole words where asked; exceptions have none."""
+    for last, meanings in automaton.iter(folded):
+        for entry, length, begins in meanings:
+            start, end = last - length + 1, last + 1
+            if (start == 0 or not folded[start - 1].isalpha()) and (begins or end == len(folded) or not folded[end].isalpha()):
+                yield start, end, entry
 
 
-def mass(automaton: ahocorasick.Automaton | None, text: str | None) -> float:
-    """Sum of the weights of a text's hits outside exceptions, normalised by its length."""
+def uses(automaton: ahocorasick.Automaton | None, lexicon: Lexicon, text: str | None) -> tuple[Counter, int]:
+    """How often a text uses each entry outside exceptions, and its number of words. The heaviest entry at a place counts once."""
     if automaton is None or not text:
-        return 0.0
+        return Counter(), 0
     folded = fold(text)
     found = list(hits(automaton, folded))
-    if not found:
-        return 0.0
-    excused = [(a, b) for a, b, w in found if not w]
-    # the heaviest entry at a place counts once
-    best: dict[int, float] = {}
-    for a, b, w in found:
-        if w and not any(x <= a and b <= y for x, y in excused):
-            best[a] = max(w, best.get(a, 0.0))
-    return sum(best.values()) / (1 + math.log1p(len(folded.split()) / 100))
+    best: dict[int, str] = {}
+    covered = -1
+    # exceptions by start; the farthest end of those that begin at or before a hit decides
+    for a, b, entry in sorted(found, key=lambda x: (x[0], x[2] is not None, -x[1])):
+        if entry is None:
+            covered = max(covered, b)
+        elif b > covered and (a not in best or lexicon.entries[entry].weight > lexicon.entries[best[a]].weight):
+            best[a] = entry
+    return Counter(best.values()), len(folded.split()) if best else 0
+
+
+def mass(automaton: ahocorasick.Automaton | None, lexicon: Lexicon, text: str | None) -> float:
+    """Sum over entries of what a text's uses exceed those of clean texts of its length by."""
+    counted, words = uses(automaton, lexicon, text)
+    return sum(lexicon.entries[e].excess(k, words) for e, k in sorted(counted.items()))
 
 
 def curve(lexicon: Lexicon, x: float) -> float:
     """The score of a normalised mass; without any it is below every score with some."""
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, lexicon.slope * x + lexicon.offset)))) if lexicon.weights else 0.0
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, lexicon.slope * x + lexicon.offset)))) if lexicon.entries else 0.0
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -134,7 +167,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "automaton" not in held:
             held["automaton"] = lexicon.automaton()
-        scores = [curve(lexicon, mass(held["automaton"], t)) for t in batch.column(1).to_pylist()]
+        scores = [curve(lexicon, mass(held["automaton"], lexicon, t)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), over, "doc_id long, score double")
@@ -160,28 +193,41 @@ def narrowness(entry: str) -> tuple[int, bool]:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the bounded labelled sample; its ids are few enough to be sent to every task."""
-    once = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ordered = [once.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_SAMPLE), (0, OTHER_SAMPLE))]
+    once = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    ordered = [once.where(f"_toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_SAMPLE), (0, OTHER_SAMPLE))]
     chosen = ordered[0].unionByName(ordered[1]).withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).where("text IS NOT NULL").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where("_text IS NOT NULL")
+    return texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_text").alias("text"), F.col("_toxic").alias("toxic"))
 
 
 def _candidates(sample: DataFrame) -> list[str]:
-    """The entries that occur in clearly more toxic texts than others."""
+    """The entries whose uses and texts speak clearly for toxic texts. The sample's bound is theirs."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        # entry: uses in toxic texts, uses in others, toxic texts
+        counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic == 1].update({e for w in set(_WORDS.findall(fold(text))) for e in _entries(w)})
-        entries = [e for e, n in counts[True].items()] + [e for e in counts[False] if e not in counts[True]]
-        for i in range(0, len(entries), 20_000):
-            part = entries[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[True][e] for e in part], pa.int64()), pa.array([counts[False][e] for e in part], pa.int64())], ["entry", "toxic", "other"])
-
-    counted = sample.mapInArrow(over, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    clear = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > 4 * F.col("other")))
-    return [r.entry for r in clear.orderBy(F.desc(F.col("toxic") - 4 * F.col("other")), "entry").limit(CANDIDATES).select("entry").collect()]
+                for word, n in Counter(_WORDS.findall(fold(text))).items():
+                    for entry in _entries(word):
+                        counts.setdefault(entry, [0, 0, 0])[0 if toxic == 1 else 1] += n
+                if toxic == 1:
+                    for entry in {e for w in set(_WORDS.findall(fold(text))) for e in _entries(w)}:
+                        counts[entry][2] += 1
+        names, values = list(counts), list(counts.values())
+        for i in range(0, len(names), 20_000):
+            part = values[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 20_000], pa.string()), *(pa.array([v[k] for v in part], pa.int64()) for k in range(3))], ["entry", "a", "b", "texts"])
+
+    counted = sample.mapInArrow(over, "entry string, a long, b long, texts long").groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("a", "b", "texts")))
+    whole = sample.agg(F.sum(F.when(F.col("toxic") == 1, F.length("text"))).alias("a"), F.sum(F.length("text")).alias("n")).first()
+    share = whole.a / (whole.n + 1)
+    # the share of all toxic texts is only a first guess of what to expect: half of the final floors
+    n = F.col("a") + F.col("b")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    clear = counted.where(F.col("texts") >= LEAST_TEXTS).where(F.col("a") > math.exp(LEAST_WEIGHT / 2) * share * n)
+    clear = clear.where(2 * (part(F.col("a"), share) + part(F.col("b"), 1 - share)) >= LEAST_EVIDENCE / 2)
+    return [r.entry for r in clear.select("entry").collect()]
 
 
 def _contexts(sample: DataFrame, candidates: list[str]) -> DataFrame:
@@ -202,10 +248,30 @@ def _contexts(sample: DataFrame, candidates: list[str]) -> DataFrame:
     return map_batches(sample, over, "entry string, toxic int, before string, word string, after string").distinct()
 
 
-def _spread(contexts: DataFrame) -> dict[str, tuple[int, int]]:
-    """Of each entry, the number of its toxic and of its other contexts."""
+def _words(sample: DataFrame) -> DataFrame:
+    """(beside, toxic_uses, all_uses) of every word of the sample."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[toxic == 1].update(_WORDS.findall(fold(text)))
+        names = list(counts[True] | counts[False])
+        for i in range(0, len(names), 20_000):
+            part = names[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[True][w] for w in part], pa.int64()), pa.array([counts[True][w] + counts[False][w] for w in part], pa.int64())], ["beside", "a", "n"])
+
+    counted = sample.mapInArrow(over, "beside string, a long, n long").groupBy("beside")
+    return counted.agg(F.sum("a").alias("toxic_uses"), F.sum("n").alias("all_uses"))
+
+
+def _spread(contexts: DataFrame, words: DataFrame) -> dict[str, tuple[int, int, float]]:
+    """Of each entry, the number of its toxic and of its other contexts, and the toxic share of all uses of the words beside it."""
     counted = contexts.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    return {r.entry: (r.a, r.b) for r in counted.collect()}
+    sides = contexts.select("entry", F.explode(F.array("before", "after")).alias("beside")).where("beside != ''")
+    # a word beside that is rare tells of its text, not of its language
+    shares = sides.join(words.where(F.col("all_uses") >= 20), "beside").groupBy("entry").agg(F.avg(F.col("toxic_uses") / F.col("all_uses")).alias("share"))
+    return {r.entry: (r.a, r.b, r.share) for r in counted.join(shares, "entry", "left").collect()}
 
 
 def _excused(contexts: DataFrame, chosen: Iterable[str]) -> list[str]:
@@ -214,7 +280,24 @@ def _excused(contexts: DataFrame, chosen: Iterable[str]) -> list[str]:
     pairs = F.explode(F.array_distinct(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after")))).alias("phrase")
     phrases = contexts.join(names, "entry").select("toxic", pairs).where("phrase NOT LIKE ' %' AND phrase NOT LIKE '% '")
     counted = phrases.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, -10).otherwise(1)).alias("k"))
-    return sorted(r.phrase for r in counted.where(F.col("k") >= LEAST_TEXTS).collect())
+    return sorted(r.phrase for r in counted.where(F.col("k") >= LEAST_EXCUSES).collect())
+
+
+def _chosen(spread: dict[str, tuple[int, int, float]], share: float) -> dict[str, float]:
+    """The weights of the entries that are clear enough: of entries that match the same words, the narrowest that matches nearly all of them."""
+    weight, proof = {}, {}
+    for entry, (a, b, beside) in spread.items():
+        p = min(0.9, max(beside if beside is not None else share, share / 4))
+        weight[entry] = math.log(a + 0.5) - math.log(b + 0.5) - math.log(p / (1 - p))
+        proof[entry] = evidence(a, b, p)
+    clear = {e for e in spread if weight[e] >= LEAST_WEIGHT and proof[e] >= LEAST_EVIDENCE}
+    chosen: dict[str, float] = {}
+    for entry in sorted(clear, key=lambda e: (-proof[e], e)):
+        while longer := [e for e in clear if e != entry and entry.endswith("*") and e.startswith(entry[:-1]) and spread[e][0] >= 0.9 * spread[entry][0] and narrowness(e) > narrowness(entry)]:
+            entry = max(longer, key=lambda e: (narrowness(e), e))
+        if not any(entry == c or c.endswith("*") and entry.startswith(c[:-1]) or entry.endswith("*") and c.startswith(entry[:-1]) for c in chosen):
+            chosen[entry] = weight[entry]
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -222,48 +305,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     Of an id with several labels the highest counts. Without toxic labels the lexicon
     is empty and every score 0. The fit uses at most TOXIC_SAMPLE and OTHER_SAMPLE
-    labelled texts.
+    labelled texts; further columns of either table are not read.
     """
-    sample = _sample(docs, labels).persist()
-    try:
-        total = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
-        if not total.get(1):
-            return Lexicon()
-        contexts = materialise(_contexts(sample, _candidates(sample)), "contexts")
-        n = _spread(contexts)
-        ratio = math.log((total.get(0, 0) + 1) / total[1])
-        weight = {e: math.log(a + 0.5) - math.log(b + 0.5) + ratio for e, (a, b) in n.items()}
-        share = total[1] / (total[1] + total.get(0, 0) + 1)
-        clear = {e for e, (a, b) in n.items() if weight[e] >= LEAST_WEIGHT and evidence(a, b, share) >= LEAST_EVIDENCE}
-        chosen: dict[str, float] = {}
-        for entry in sorted(clear, key=lambda e: (-n[e][0], e)):
-            while longer := [e for e in clear if e != entry and entry.endswith("*") and e.startswith(entry[:-1]) and n[e][0] >= 0.9 * n[entry][0] and narrowness(e) > narrowness(entry)]:
-                entry = max(longer, key=narrowness)
-            if not any(entry == c or c.endswith("*") and entry.startswith(c[:-1]) for c in chosen):
-                chosen[entry] = weight[entry]
-        learned = tuple(_excused(contexts, chosen))
-        lexicon = Lexicon(chosen, EXCEPTIONS + learned)
-        return _fit_curve(sample, lexicon)
-    finally:
-        sample.unpersist()
+    sample = materialise(_sample(docs, labels), "labelled")
+    total = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if not total.get(1):
+        return Lexicon()
+    contexts = materialise(_contexts(sample, _candidates(sample)), "contexts")
+    chosen = _chosen(_spread(contexts, _words(sample)), total[1] / (total[1] + total.get(0, 0) + 1))
+    if not chosen:
+        return Lexicon()
+    return _fit_curve(sample, Lexicon({e: Entry(w) for e, w in chosen.items()}, EXCEPTIONS + tuple(_excused(contexts, chosen))))
 
 
 def _fit_curve(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """The logistic curve of the normalised mass, by Newton's method with a weak penalty."""
+    """The entries' rates, and the logistic curve of the mass by Newton's method with a weak penalty."""
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = lexicon.automaton()
-        return pa.RecordBatch.from_arrays([pa.array([mass(automaton, t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1).cast(pa.int32())], ["x", "y"])
-
-    rows = map_batches(sample, over, "x double, y int").toPandas()
-    x, y = np.stack([rows["x"], np.ones(len(rows))], axis=1), rows["y"].to_numpy(float)
+        used = [uses(automaton, lexicon, t) for t in batch.column(0).to_pylist()]
+        kind = pa.map_(pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([list(c.items()) for c, _ in used], kind), pa.array([n for _, n in used], pa.int64()), batch.column(1).cast(pa.int32())], ["uses", "n", "y"])
+
+    # one row for each text of the bounded sample
+    rows = map_batches(sample, over, "uses map<string,long>, n long, y int").collect()
+    entries = {}
+    for name, entry in lexicon.entries.items():
+        holding = [(r.uses[name], r.n) for r in rows if r.y == 1 and name in r.uses]
+        entries[name] = Entry(entry.weight, sum(k for k, _ in holding) / sum(n for _, n in holding) if holding else entry.rate)
+    mass_of = [sum(entries[e].excess(k, r.n) for e, k in sorted(r.uses.items())) for r in rows]
+    # beyond this a text is toxic for certain: outliers shall not flatten the curve
+    x, y = np.stack([np.minimum(mass_of, 12.0), np.ones(len(rows))], axis=1), np.array([r.y for r in rows], float)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (y - p) - 0.01 * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
         w += np.linalg.solve(hessian, gradient)
-    return Lexicon(lexicon.weights, lexicon.exceptions, float(w[0]), float(w[1]))
+    return Lexicon(entries, lexicon.exceptions, float(w[0]), float(w[1]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -272,21 +351,29 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs, by a lexicon fitted to the labels that aren't held out."""
+    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text), by a lexicon fitted to the labels that aren't held out.
+
+    A null or empty text has the score of a text without hits; null ids and repeated
+    rows are judged like others; further columns of docs and labels are not read.
+    """
     lexicon = fit(docs, labels.where(~held_out()))
     scored = score(docs, lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the texts that are judged toxic; all columns as they are."""
+    """docs without the texts that are judged toxic; all columns as they are.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays
+    empty, and no further column is looked at.
+    """
     lexicon = fit(docs, labels.where(~held_out()))
     kept: dict[str, ahocorasick.Automaton | None] = {}
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "automaton" not in kept:
             kept["automaton"] = lexicon.automaton()
-        good = [curve(lexicon, mass(kept["automaton"], t)) < THRESHOLD for t in batch.column("text").to_pylist()]
+        good = [curve(lexicon, mass(kept["automaton"], lexicon, t)) < THRESHOLD for t in batch.column("text").to_pylist()]
         return batch.filter(pa.array(good, pa.bool_()))
 
     return map_batches(docs, over, docs.schema)
