@@ -114,8 +114,10 @@ _ENDS = "com|org|net|edu|gov|info|io|dev|app|biz|eu|de|fr|es|uk|us|it|nl|ch|at|b
 _BARE_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\s{_DOT}\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _HOST = rf"[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)*(?:\s{_DOT}\s|\.)(?:{_ENDS})(?![A-Za-z0-9-])"
 _BARE_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9_%+-]+)*(?:\s{_AT}\s|@){_HOST}", re.I)
-# Whatever _BRACED, _BARE_MAIL and _BARE_IP rewrite, this matches a part of.
+# Whatever _BRACED, _BARE_MAIL, _SIGNED_MAIL and _BARE_IP rewrite, this matches a part of.
 _HINT = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}|@|\.){_SHUT}|\s{_DOT}\s|\s{_AT}\s{_HOST}", re.I)
+# After a plain "@" bare dots need no known ending behind them.
+_SIGNED_MAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:(?:\s{_DOT}\s|\.)[A-Za-z0-9-]+)*\s{_DOT}\s[A-Za-z0-9-]+", re.I)
 _BARE = re.compile(rf"\s(?:({_AT})|{_DOT})\s", re.I)
 
 
@@ -181,6 +183,12 @@ def bare(m: re.Match) -> list[tuple[str, int, int]]:
     return out + [(m.string[i], i, i + 1) for i in range(at, m.end())]
 
 
+def counting(said: list[str]) -> bool:
+    """Whether spelled digits are someone's counting up or down: nine in ten of their steps lead to the next digit."""
+    steps = [(int(y) - int(x)) % 10 for x, y in zip(said, said[1:], strict=False)]
+    return max(steps.count(1), steps.count(9)) * 10 >= 9 * len(steps)
+
+
 def spelled(text: str) -> bool:
     """Whether a text may hold spelled digits."""
     return bool(_ANY_RUN.search(text))
@@ -202,13 +210,14 @@ def disguised(text: str) -> list[S.Span]:
     if hinted(tape.text):
         tape.rewrite(_BRACED, undisguised)
         tape.rewrite(_BARE_MAIL, bare)
+        tape.rewrite(_SIGNED_MAIL, bare)
         tape.rewrite(_BARE_IP, bare)
     if spelled(tape.text):
         for lang in SPELLED:
             if _RUNS[lang].search(tape.text):
                 for m in _RUNS[lang].finditer(tape.text):
                     said = [c for c, _, _ in digits(lang)(m) if c != "+"]
-                    if 10 <= len(said) <= 15 and len(set(said)) >= 3:
+                    if 10 <= len(said) <= 15 and len(set(said)) >= 3 and not counting(said):
                         runs.append(tape.source((PHONE, m.start(), m.end())))
                 tape.rewrite(_RUNS[lang], digits(lang))
     found = [tape.source(s) for s in detect(tape.text)]
@@ -232,7 +241,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with personal data replaced by its kind."""
+    """docs(doc_id, text) with personal data replaced by its kind; nulls, repeated rows and further columns as in find()."""
     return S.masked(docs, scanner, KINDS)
 
 

@@ -381,7 +381,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with secrets replaced by their kind."""
+    """docs(doc_id, text) with secrets replaced by their kind; nulls, repeated rows and further columns as in find()."""
     return S.masked(docs, scanner(), KINDS)
 
 

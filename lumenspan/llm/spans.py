@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterable
 
@@ -29,13 +30,19 @@ def digest(spans: Iterable[Span], kinds: tuple[str, ...]) -> str:
 
 
 def apart(found: Iterable[Span], taken: list[Span]) -> list[Span]:
-    """Those of the found spans that overlap none of the taken ones nor an earlier one of their own."""
-    held = sorted((a, b) for _, a, b in taken)
+    """Those of the found spans that overlap none of the taken ones nor an earlier one of their own. Linear but for sorting."""
+    starts, reach = [], []
+    for a, b in sorted((a, b) for _, a, b in taken):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
     out: list[Span] = []
+    last = 0
     for span in in_order(found):
         _, a, b = span
-        if b > a and all(b <= x or y <= a for x, y in held) and all(b <= x or y <= a for _, x, y in out):
+        before = bisect.bisect_left(starts, b)
+        if b > a >= last and not (before and reach[before - 1] > a):
             out.append(span)
+            last = b
     return out
 
 
@@ -71,7 +78,11 @@ def summary(docs: DataFrame, scanner: Callable[[str], tuple[list[Span], list[Spa
 
 
 def masked(docs: DataFrame, scanner: Callable[[str], tuple[list[Span], list[Span]]], kinds: tuple[str, ...]) -> DataFrame:
-    """docs(doc_id, text) with every span replaced by its kind in angle brackets; null stays null."""
+    """docs(doc_id, text) with every span replaced by its kind in angle brackets.
+
+    Null and empty texts stay as they are; null ids and repeated rows are kept, one
+    result row each; further columns are not read.
+    """
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
