@@ -21,8 +21,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are spread over ten sources or more go; n_chars follows the text."""
-    cleaned = line_dedup.remove_spread_lines(docs)
+    """Lines that are spread over ten sources or more go; n_chars follows the text.
+
+    Documents of such lines alone are copies of each other: they stay whole for the next stage, which keeps one.
+    """
+    cleaned = line_dedup.remove_spread_lines(docs, spare_copies=True)
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed.cast("long")).select(*docs.columns)
 

@@ -7,9 +7,11 @@ above the threshold is boilerplate, one well below is not; for lines whose estim
 is near the threshold the distinct sites are counted exactly. The sketches' relative
 error is about 1.6 % at the default size, the band is 25 % either way (15 deviations),
 and small counts are exact in the sketch itself, so the result is that of exact
-counting. Boilerplate lines are removed from every document. A document without a
-word outside such lines is a copy of another, not a page that carries boilerplate:
-it is left whole for near-duplicate removal.
+counting.
+
+The texts are split into lines once, into a table of places and digests. A line that a
+third of all documents hold is one key with a third of all rows: where lines join the
+few that are spread, keys are salted, so that such a line is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: log2 of the number of sketch registers: a relative error of 1.04 / sqrt(4096).
 LOG_K = 12
 #: Estimates within this share of the threshold are counted exactly.
 BAND = 0.25
+#: Parts that the rows of one line are dealt over.
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -28,42 +34,57 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """The keys of lines(key, site) that occur on min_sites distinct sites or more. Null sites don't count."""
-    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("site"), F.lit(LOG_K))).alias("sites"))
+def salted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows(_id, _hash, pos, key, ...) whose key is among keys(key); the rows of one key are dealt over SALTS parts."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "_hash", "pos"), F.lit(SALTS)).cast("int"))
+    every = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return dealt.join(every, ["key", "salt"], "left_semi")
+
+
+def spread_lines(rows: DataFrame, min_sites: int) -> DataFrame:
+    """The keys of rows(_id, _hash, pos, key, site) that occur on min_sites distinct sites or more. Null sites don't count."""
+    sketched = rows.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("site"), F.lit(LOG_K))).alias("sites"))
+    sketched = materialise(sketched.where(F.col("sites") >= min_sites * (1 - BAND)), "sites")
     sure = sketched.where(F.col("sites") > min_sites * (1 + BAND)).select("key")
-    near = sketched.where(F.col("sites").between(min_sites * (1 - BAND), min_sites * (1 + BAND))).select("key")
-    exact = lines.join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("key")
+    near = sketched.where(F.col("sites") <= min_sites * (1 + BAND)).select("key")
+    exact = salted(rows, near).select("key", "site").distinct().groupBy("key").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("key")
     return sure.unionByName(exact)
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", spare_copies: bool = False) -> DataFrame:
     """docs(text, ...) with boilerplate lines removed; adds n_lines and n_removed.
 
     Lines end at a line feed; lines of spaces only are never boilerplate and stay where
-    they are. n_lines counts the others. A null text has no lines and stays null. All
-    other columns are kept as they are, repeated rows included.
+    they are. n_lines counts the others. A null text has no lines and stays null, an
+    empty table stays empty. All other columns are kept as they are, repeated rows
+    included; columns named n_lines or n_removed are replaced. A document of
+    boilerplate alone is left empty, unless ``spare_copies`` asks that documents
+    without a word outside spread lines be left whole, as copies for near-duplicate
+    removal to decide on.
     """
     lines = F.split(F.col("text"), "\n", -1)
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col(site).alias("site"), F.posexplode(lines).alias("pos", "line"))
     rows = rows.where(F.trim("line") != "").select("_id", "_hash", "site", "pos", line_key(F.col("line")).alias("key"))
-    spread = spread_lines(rows.select("key", "site"), min_sites)
-    hits = rows.select("_id", "_hash", "pos", "key").join(spread, "key", "left_semi")
+    rows = materialise(rows, "lines")
+    spread = materialise(spread_lines(rows.select("_id", "_hash", "pos", "key", "site"), min_sites), "spread")
+    hits = salted(rows.select("_id", "_hash", "pos", "key"), spread)
     hits = hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("pos")).alias("_hits"))
     # the row as one value: no column of docs can meet one of these steps
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     doc_id, text = F.col("row")["doc_id"], F.col("row")["text"]
     found = whole.join(hits, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left").select("row", "_hits")
-    found = found.withColumn("lines", F.when(F.col("_hits").isNotNull(), F.split(text, "\n", -1)))
+    found = found.withColumn("lines", F.split(text, "\n", -1))
     # what stands between one removed line and the next
     stops = F.concat(F.array(F.lit(-1)), F.col("_hits"), F.array(F.size("lines")))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_hits")), lambda k: F.slice(F.col("lines"), stops[k] + 2, stops[k + 1] - stops[k] - 1)))
     found = found.withColumn("kept", F.when(F.col("_hits").isNotNull(), F.array_join(kept, "\n")))
-    use = F.coalesce(F.col("kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    use = F.col("kept").isNotNull()
+    if spare_copies:
+        use = F.coalesce(F.col("kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return found.select(
         *others,
         F.when(use, F.col("kept")).otherwise(text).alias("text"),
-        F.coalesce(F.size(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter(F.col("lines"), lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(use, F.size("_hits")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -39,8 +39,7 @@ cleaned AS (
          count(*) FILTER (WHERE trim(line, ' ') <> '') AS n_lines, count(*) FILTER (WHERE hit) AS hits
   FROM marked GROUP BY r)
 SELECT n.doc_id, coalesce(c.n_lines, 0) AS n_lines,
-       CASE WHEN regexp_matches(coalesce(c.kept, ''), '[^\x20\x09-\x0D]') THEN c.hits ELSE 0 END AS n_removed,
-       sha256(CASE WHEN regexp_matches(coalesce(c.kept, ''), '[^\x20\x09-\x0D]') THEN c.kept ELSE n.text END) AS text_sha256
+       coalesce(c.hits, 0) AS n_removed, sha256(CASE WHEN c.hits > 0 THEN coalesce(c.kept, '') ELSE n.text END) AS text_sha256
 FROM numbered n LEFT JOIN cleaned c USING (r)
 """,
     "op9_topk_search": r"""
