@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,17 +29,11 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a folder of this session is made.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where that is unset, a
+    folder of the warehouse, which executors share with the driver as well.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("lumenspan.scratch", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="lumenspan-")
-        spark.conf.set("lumenspan.scratch", own)
-    return own
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

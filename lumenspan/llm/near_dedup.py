@@ -18,11 +18,10 @@ found between distinct sets only; equal sets are one class.
    confirmed on the full sets, and components of the confirmed links are formed.
 3. Buckets that still hold more than one component are looked at again: the sets
    outside the bucket's largest component are compared with all sets of the bucket, in
-   tiles of bounded size.
-   Here a second bitmap, of the parity of all
-   shingles, tells similarities near 0.8 apart. First each set's closest likely links
-   are confirmed and components formed anew, then every pair of different components
-   that the bitmaps allow. No link between components is left: a pair inside one
+   tiles of bounded size, by their odd sketches. Of the pairs that these allow, a
+   second bitmap, of the parity of all shingles, tells similarities near 0.8 apart.
+   First each set's closest likely links are confirmed and components formed anew,
+   then every pair of different components that both bitmaps allow. No link between components is left: a pair inside one
    component would change nothing, and any other with a shared band is compared.
 
 The thresholds of both bitmaps lie about five deviations below what a link gives, so
@@ -52,8 +51,6 @@ SKETCH_BITS = 256
 ESTIMATE = 0.6
 #: Bits of the parity bitmap of all shingles, and deviations by which it may exceed what a link's differing shingles give.
 PARITY_BITS, DEVIATIONS = 1024, 5.0
-#: Pairs up to which their ends' ids, 16 bytes each, are broadcast.
-FEW = 100_000
 #: What is compared of two band keys to find the first that two sets share.
 MARK = 0x7FFFFFFF
 #: Sets of a bucket that are compared in one task at a time.
@@ -170,10 +167,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(rows, over, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """(digest, shingles) for the classes in wanted(digest, doc_id, text_key), read from the texts of their first documents.
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, shingles) for the classes in wanted(doc_id, text_key), read from the texts of their first documents.
 
-    A few are sent to the texts; many, and the texts, are dealt by document.
+    wanted is a table of 16 bytes a row whose size the optimiser knows: it sends a
+    small one to the texts, and deals a large one and the texts by document.
     """
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,7 +181,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 
     memos: dict[str, Digests] = {}
     first = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    first = F.broadcast(first) if few else first
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64("text") == first["_key"]), "left_semi")
     return map_batches(rows.select("text"), over, "digest binary, shingles binary").dropDuplicates(["digest"])
@@ -254,8 +251,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     """Those of the pairs (a, b) that are links, as a table."""
     pairs = materialise(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = classes.join(ends, "digest", "left_semi").select("digest", "doc_id", "text_key")
-    return materialise(confirmed(pairs, full_sets(docs, wanted, pairs.count() <= FEW)), "links")
+    wanted = materialise(classes.join(ends, "digest", "left_semi").select("doc_id", "text_key"), "wanted")
+    return materialise(confirmed(pairs, full_sets(docs, wanted)), "links")
 
 
 def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -299,6 +296,7 @@ def compared(group: pa.Table, deviations: float) -> pa.Table:
     rank = np.unique(digest, return_inverse=True)[1]
     home = np.unique(component, return_inverse=True)[1]
     size = group["size"].to_numpy()
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(side), -1)
     words = group["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(side), -1)
     marks = group["marks"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
     mark = group["key"][0].as_py() & MARK
@@ -311,6 +309,8 @@ def compared(group: pa.Table, deviations: float) -> pa.Table:
         open_ &= np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * SIMILARITY
         at, to = np.nonzero(open_)
         at, to = part[at], others[to]
+        alike = np.bitwise_count(sketch[at] ^ sketch[to]).sum(axis=1) <= estimate_floor_bits(ESTIMATE)
+        at, to = at[alike], to[alike]
         bits = np.bitwise_count(words[at] ^ words[to]).sum(axis=1)
         near = bits <= allowed_bits(size[at] + size[to], deviations)
         at, to, bits = at[near], to[near], bits[near]
@@ -331,7 +331,7 @@ def across(classes: DataFrame, members: DataFrame, grouped: DataFrame, deviation
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_keys = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1")
     marks = F.transform("bands", lambda key: key.bitwiseAND(F.lit(MARK)).cast("int")).alias("marks")
-    described = classes.select("digest", "parity", marks, F.col("n_shingles").alias("size"))
+    described = classes.select("digest", "sketch", "parity", marks, F.col("n_shingles").alias("size"))
     tiles = mixed_keys.select("key", F.col("largest.component").alias("largest"), F.ceil(F.col("total") / TILE).cast("int").alias("tiles"))
     open_rows = rows.join(tiles, "key").join(described, "digest")
     # a bucket of up to TILE sets is one tile; a larger one is cut, and each tile of sets outside the largest component meets each tile of all
@@ -340,7 +340,7 @@ def across(classes: DataFrame, members: DataFrame, grouped: DataFrame, deviation
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     outside = F.when(F.col("component") != F.col("largest"), F.transform(every, lambda j: place(own, j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
     places = F.when(F.col("tiles") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(F.concat(outside, F.transform(every, lambda i: place(i, own, 1))))
-    dealt = open_rows.withColumn("place", F.explode(places)).select("key", "place.i", "place.j", "place.side", "digest", "component", "largest", "size", "parity", "marks")
+    dealt = open_rows.withColumn("place", F.explode(places)).select("key", "place.i", "place.j", "place.side", "digest", "component", "largest", "size", "sketch", "parity", "marks")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tiles follow each other; the last of a batch may go on in the next."""
