@@ -47,7 +47,7 @@ WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p
 lengths AS (SELECT doc_id, len(w) AS dl FROM words),
 totals AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
 asked AS (
-  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+  SELECT DISTINCT doc_id AS query_id, unnest(w) AS term FROM words WHERE doc_id % 20 = 0),
 postings AS (
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
