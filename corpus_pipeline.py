@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from lumenspan.llm.common import materialise
-from lumenspan.llm.queries import TOKENIZERS, table
+from lumenspan.llm.queries import table, tokenizer_path
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and decoded text of each document."""
-    return bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json", finish=bpe.DIGESTS)
+    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), finish=bpe.DIGESTS)
 
 
 STAGES = [

@@ -1,24 +1,29 @@
 """BPE encoding and decoding through a table of distinct words.
 
-A text is split at ASCII white space. The tokenizer's own rules never join anything
-across such white space (its normaliser composes no character with it and its
-splitting pattern matches none), so the ids of a text are those of its words, one
-after the other, and a word's ids don't depend on where it stands.
-
-1. Each block of texts (about ``BLOCK_CHARS`` characters of one map task) lists its
-   distinct words once, sorted, dealt by hash into ``BUCKETS`` lists.
-2. The lists of one bucket, of all blocks, meet in one task, one after the other.
-   There every distinct word is encoded once; each list goes back to its block with its
-   words' ids.
-3. The texts travel to their block compressed. There every word of the block gets its
-   ids, and its pieces from the id-to-piece table, and each position of a text takes
-   those of its word: a join by position inside the block.
+Texts are split into words by Spark, at ASCII white space. The tokenizer's own rules
+never join anything across such white space (its normaliser composes no character with
+it and its splitting pattern matches none), so the ids of a text are those of its words,
+one after the other, and a word's ids don't depend on where it stands.
+
+1. Each block of texts (about ``BLOCK_BYTES`` of words of one map task) lists its distinct
+   words once, sorted, dealt by hash into buckets.
+2. The distinct-word table: the lists of one bucket, of all blocks, meet in one task,
+   where every distinct word is encoded once. It has a row for each word of the corpus.
+3. Decoding: the table's ids are joined with the id-to-piece table, which is as large
+   as the vocabulary at any scale, and a word's pieces put together by position.
+4. Both go back to the blocks: in each bucket, the table's rows and their pieces come
+   first and the lists of words after them, one by one, each leaving with its words' ids
+   and pieces.
+5. The words of the texts travel to their block compressed. There each position of a
+   text is joined with its word, and takes its ids and pieces: a join by position.
 
 What moves is the distinct words of each block, not all its words, and the texts once,
-all compressed. No task holds more than one block, or the distinct words of one
-bucket. A word that a third of all texts hold is one entry per block. Should a lost
-task cut its blocks in another way when it runs again, a block's lists may lack some of
-its words; those are encoded on the spot.
+all compressed. No task holds more than one block, or the distinct words of one bucket;
+there are about as many buckets as the square root of the number of blocks, with
+``BUCKETS`` of them at least, so that buckets and the lists of a block both stay small. A
+word that a third of all texts hold is one entry per block. Should a lost task cut its
+blocks in another way when it runs again, a block's lists may lack some of its words;
+those are encoded on the spot.
 """
 
 from __future__ import annotations
@@ -26,25 +31,26 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import materialise, one_thread, words
 
-BLOCK_CHARS = 32_000_000
-#: Texts are packed into rows of about so many characters.
-PACK_CHARS = 2_000_000
+BLOCK_BYTES = 32_000_000
+#: Texts are packed into rows of about so many bytes.
+PACK_BYTES = 2_000_000
+#: Least number of buckets.
 BUCKETS = 128
-#: Distinct words that a task remembers; beyond it, words are encoded again.
-MEMO = 4_000_000
 
 
 class WordEncoder:
@@ -58,9 +64,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [tuple(x.ids) for x in found]
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
 
 def pieces_of(definition: str) -> list[str]:
@@ -76,108 +81,139 @@ def read_definition(path: str) -> str:
         return file.read()
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, str]]]]:
-    """(block, [(key, text)...]) packs of a task's rows; a block is a run of packs of BLOCK_CHARS together."""
-    task, block, in_block, pack, in_pack = TaskContext.get().partitionId(), 0, 0, [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            pack.append((key, text or ""))
-            in_pack += len(text or "") + 16
-            if in_pack >= PACK_CHARS:
-                yield (task << 24) + block, pack
-                in_block += in_pack
-                pack, in_pack = [], 0
-                if in_block >= BLOCK_CHARS:
-                    block, in_block = block + 1, 0
-    if pack:
-        yield (task << 24) + block, pack
-
-
-def lists_of(words: set[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(bucket, sorted words) of a block's distinct words.
-
-    bytes.split() leaves no word with a line feed, so that one can end each word.
-    """
-    dealt: list[list[bytes]] = [[] for _ in range(BUCKETS)]
-    for word in sorted(words):
-        dealt[zlib.crc32(word) % BUCKETS].append(word)
-    for bucket, part in enumerate(dealt):
-        if part:
-            yield bucket, part
+def piece_table(spark, definition: str) -> DataFrame:
+    """(id, piece), a row for each id of the vocabulary."""
+    return spark.createDataFrame(list(enumerate(pieces_of(definition))), "id int, piece string")
+
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets by the optimiser's estimate of the size of docs: four for each side of the square that the blocks fill."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(BUCKETS, min(2**16, 4 * math.isqrt(3 * size // BLOCK_BYTES)))
 
-def word_lists(docs: DataFrame) -> DataFrame:
-    """(bucket, block, words): each block's distinct words, one compressed list for each bucket."""
 
-    def rows(block: int, words: set[bytes]) -> pa.RecordBatch:
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], pa.ListArray]]:
+    """(block, keys, words) packs of a task's rows of (key, words); a block is a run of packs of BLOCK_BYTES together."""
+    task, block, in_block = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.list_(pa.string()))
+        # the bytes of all words before each row
+        ends = texts.offsets.to_numpy()
+        sizes = pc.binary_length(texts.values).to_numpy(zero_copy_only=False)
+        before = np.concatenate(([0], np.cumsum(sizes + 1)))[ends] + 16 * np.arange(len(ends))
+        a = 0
+        while a < len(keys):
+            b = max(a + 1, int(np.searchsorted(before, before[a] + PACK_BYTES)))
+            b = min(b, len(keys))
+            yield (task << 24) + block, keys[a:b], texts.slice(a, b - a)
+            in_block += int(before[b] - before[a])
+            if in_block >= BLOCK_BYTES:
+                block, in_block = block + 1, 0
+            a = b
+
+
+def word_lists(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words): each block's distinct words, one sorted and compressed list for each bucket.
+
+    No word has a line feed, so that one can end each word.
+    """
+
+    def lists(block: int, parts: list[pa.Array]) -> pa.RecordBatch:
+        found = pc.unique(pa.chunked_array(parts)).cast(pa.binary()).to_pylist()
+        dealt: dict[int, list[bytes]] = {}
+        for word in sorted(found):
+            dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
         press = zstandard.ZstdCompressor(level=9)
-        lists = [(bucket, block, press.compress(b"\n".join(part))) for bucket, part in lists_of(words)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lists, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "words"])
+        blobs = [press.compress(b"\n".join(part)) for part in dealt.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "words"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found = None, set()
-        for block, pack in blocks_of(batches):
-            if block != at and found:
-                yield rows(at, found)
-                found = set()
+        at, parts = None, []
+        for block, _, texts in blocks_of(batches):
+            if block != at and parts:
+                yield lists(at, parts)
+                parts = []
             at = block
-            for _, text in pack:
-                found.update(text.encode().split())
-        if found:
-            yield rows(at, found)
+            parts.append(pc.unique(texts.flatten()))
+        if parts:
+            yield lists(at, parts)
 
-    return docs.mapInArrow(over, "bucket int, block long, words binary")
+    return rows.mapInArrow(over, "bucket int, block long, words binary")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(block, texts): the texts themselves, compressed in packs."""
+def packed(rows: DataFrame) -> DataFrame:
+    """(block, texts): the words of the texts in order, compressed in packs."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6)
-        for block, pack in blocks_of(batches):
-            table = pa.table({"key": pa.array([k for k, _ in pack], pa.int64()), "text": pa.array([t for _, t in pack], pa.large_string())})
+        for block, keys, texts in blocks_of(batches):
+            joined = pc.binary_join(texts, "\n").cast(pa.large_string())
+            table = pa.table({"key": pa.array(keys, pa.int64()), "size": texts.value_lengths(), "text": joined})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "texts"])
 
-    return docs.mapInArrow(over, "block long, texts binary")
-
+    return rows.mapInArrow(over, "block long, texts binary")
 
-def encode_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
-    """(block, words, ids): the lists of words with lists of their ids.
 
-    The lists of a bucket follow each other in one task, which encodes each distinct
-    word when it first comes.
-    """
+def distinct_words(lists: DataFrame, definition: Broadcast) -> DataFrame:
+    """(bucket, nth, word, ids): every distinct word of the lists once, numbered in its bucket, with its ids. The lists of a bucket follow each other in one task."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bucket, known = WordEncoder(definition.value), None, {}
-        press, open_list = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+        encoder, bucket, known = WordEncoder(definition.value), None, set()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            blobs = []
             for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if at != bucket or len(known) > MEMO:
-                    bucket, known = at, {}
-                words = open_list.decompress(blob).split(b"\n")
-                fresh = [w for w in words if w not in known]
-                known.update(zip(fresh, encoder(fresh), strict=True))
-                ids = [known[w] for w in words]
-                lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-                # byte planes: the high bytes are mostly zero
-                blobs.append(press.compress(np.concatenate((lengths, flat)).view(np.uint8).reshape(-1, 4).T.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("words"), pa.array(blobs, pa.binary())], ["block", "words", "ids"])
+                if at != bucket:
+                    bucket, known = at, set()
+                fresh = [w for w in unpack.decompress(blob).split(b"\n") if w not in known]
+                for i in range(0, len(fresh), 20_000):
+                    part = fresh[i : i + 20_000]
+                    nth = pa.array(range(len(known), len(known) + len(part)), pa.int32())
+                    known.update(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), nth, pa.array(part, pa.binary()).cast(pa.string()), pa.array(encoder(part), pa.list_(pa.int32()))], ["bucket", "nth", "word", "ids"])
+
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, "bucket int, nth int, word string, ids array<int>")
+
 
-    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(over, "block long, words binary, ids binary")
+def with_pieces(table: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(bucket, nth, decoded) for the rows of the distinct-word table: each id joined with its piece, put together by position."""
+    placed = table.select("bucket", "nth", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
+    grouped = placed.groupBy("bucket", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("placed"))
+    return grouped.select("bucket", "nth", F.array_join(F.col("placed")["piece"], " ").alias("decoded"))
 
 
-def ids_in(blob: bytes, words: int) -> list[tuple[int, ...]]:
-    """The inverse of what encode_lists packs."""
-    numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-    ends, flat = np.cumsum(numbers[:words]).tolist(), numbers[words:].tolist()
-    return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+def encoded_lists(lists: DataFrame, table: DataFrame, decoded: DataFrame) -> DataFrame:
+    """(block, coded): the lists of words with their ids and pieces.
+
+    In each bucket the rows of the distinct-word table come first, then the pieces by
+    the words' numbers, then the lists. Words without ids have no pieces.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, named, known = None, {}, {}
+        press, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+        for batch in batches:
+            blocks, blobs = [], []
+            for at, kind, block, blob, nth, word, ids, pieces in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block", "words", "nth", "word", "ids", "decoded")), strict=True):
+                if at != bucket:
+                    bucket, named, known = at, {}, {}
+                if kind == 0:
+                    named[nth] = word.encode()
+                    known[named[nth]] = word + "\t" + " ".join(map(str, ids)) + "\t"
+                elif kind == 1:
+                    known[named[nth]] += pieces
+                else:
+                    blocks.append(block)
+                    blobs.append(press.compress("\n".join([known[w] for w in unpack.decompress(blob).split(b"\n")]).encode()))
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "coded"])
+
+    none = {"block": "long", "words": "binary", "nth": "int", "word": "string", "ids": "array<int>", "decoded": "string"}
+    columns = lambda df, kind: df.select("bucket", F.lit(kind).alias("kind"), *(c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    every = columns(table, 0).unionByName(columns(decoded, 1)).unionByName(columns(lists, 2))
+    return every.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(over, "block long, coded binary")
 
 
 def digests(ids: str, pieces: str) -> tuple[int, str, str]:
@@ -194,6 +230,40 @@ DIGESTS = (digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 TOKENS = (tokens, "ids array<int>, decoded string")
 
 
+class Block:
+    """A block's distinct words by place, with their ids and pieces as text."""
+
+    def __init__(self, blobs: Iterable[bytes], definition: Broadcast) -> None:
+        unpack = zstandard.ZstdDecompressor()
+        lines = itertools.chain.from_iterable(unpack.decompress(b).decode().split("\n") for b in blobs)
+        found = list(zip(*(x.split("\t") for x in lines), strict=True)) or [(), (), ()]
+        self.definition = definition
+        self.words, self.ids, self.pieces = (pa.array(c, pa.string()) for c in found)
+
+    def add(self, missing: list[str]) -> None:
+        """Encodes words that the lists lack."""
+        piece = pieces_of(self.definition.value).__getitem__
+        ids = WordEncoder(self.definition.value)([w.encode() for w in missing])
+        more = missing, [" ".join(map(str, x)) for x in ids], [" ".join(map(piece, x)) for x in ids]
+        self.words, self.ids, self.pieces = (pa.concat_arrays([old, pa.array(new, pa.string())]) for old, new in zip((self.words, self.ids, self.pieces), more, strict=True))
+
+    def texts(self, pack: pa.Table) -> Iterator[tuple[int | None, str, str]]:
+        """(key, ids, pieces) of each text of a pack: every position takes those of its word."""
+        sizes = pack["size"].to_numpy()
+        some = "\n".join(t for t, n in zip(pack["text"].to_pylist(), sizes.tolist(), strict=True) if n)
+        flat = pa.array(some.split("\n") if some else [], pa.string())
+        place = pc.index_in(flat, value_set=self.words)
+        if place.null_count:
+            self.add(pc.unique(flat.filter(place.is_null())).to_pylist())
+            place = pc.index_in(flat, value_set=self.words)
+        # a word of invisible characters alone may have no token
+        told = pc.greater(pc.binary_length(self.ids), 0).take(place).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(told, dtype=np.int64)))[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
+        place = place.filter(pa.array(told))
+        joined = [pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.take(place)), " ").to_pylist() for column in (self.ids, self.pieces)]
+        yield from zip(pack["key"].to_pylist(), *joined, strict=True)
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", finish=TOKENS) -> DataFrame:
     """One row per row of docs: its key and what ``finish`` makes of its ids and pieces.
 
@@ -202,50 +272,25 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     other than key and text are not read. The result's order is not defined.
     """
     make, fields = finish
-    sent = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer))
-    pairs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    definition = read_definition(tokenizer)
+    sent = spark.sparkContext.broadcast(definition)
+    rows = docs.select(F.col(key).cast("long").alias("key"), words(F.col(text)).alias("words"))
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([("key", pa.int64()), *((f.split()[0], kinds[f.split()[1]]) for f in fields.split(", "))])
-    tables: dict[str, list[str]] = {}
-
-    def assemble(lists: pa.Table, packs: pa.Table) -> pa.Table:
-        if "pieces" not in tables:
-            tables["pieces"] = pieces_of(sent.value)
-        piece, open_pack = tables["pieces"].__getitem__, zstandard.ZstdDecompressor()
-        ids, pieces, encoder = {}, {}, None
-
-        def learn(words: list[bytes], found: list[tuple[int, ...]]) -> None:
-            for word, coded in zip(words, found, strict=True):
-                ids[word] = " ".join(map(str, coded))
-                pieces[word] = " ".join(map(piece, coded))
-
-        for blob, coded in zip(lists["words"], lists["ids"], strict=True):
-            words = open_pack.decompress(blob.as_py()).split(b"\n")
-            learn(words, ids_in(coded.as_py(), len(words)))
-        # a word of invisible characters alone may have no token
-        empty = "" in ids.values()
-        rows = []
-        for pressed in packs["texts"]:
-            pack = pa.ipc.open_stream(open_pack.decompress(pressed.as_py())).read_all()
-            for name, t in zip(pack["key"].to_pylist(), pack["text"].to_pylist(), strict=True):
-                words = t.encode().split()
-                try:
-                    coded = " ".join(map(ids.__getitem__, words))
-                except KeyError:
-                    encoder = encoder or WordEncoder(sent.value)
-                    missed = list({w for w in words if w not in ids})
-                    learn(missed, encoder(missed))
-                    empty = "" in ids.values()
-                    coded = " ".join(map(ids.__getitem__, words))
-                if empty:
-                    words = [w for w in words if ids[w]]
-                    coded = " ".join(map(ids.__getitem__, words))
-                rows.append((name, *make(coded, " ".join(map(pieces.__getitem__, words)))))
-        columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+
+    def assemble(coded: pa.Table, packs: pa.Table) -> pa.Table:
+        block, unpack, out = Block(coded["coded"].to_pylist(), sent), zstandard.ZstdDecompressor(), []
+        for pressed in packs["texts"].to_pylist():
+            pack = pa.ipc.open_stream(unpack.decompress(pressed)).read_all()
+            out += [(name, *make(ids, pieces)) for name, ids, pieces in block.texts(pack)]
+        columns = zip(*out, strict=True) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    coded = encode_lists(word_lists(pairs), sent)
-    out = coded.groupBy("block").cogroup(packed(pairs).groupBy("block")).applyInArrow(assemble, f"key long, {fields}")
+    lists = materialise(word_lists(rows, buckets_for(docs)), "word_lists")
+    table = materialise(distinct_words(lists, sent), "distinct_words")
+    coded = encoded_lists(lists, table, with_pieces(table, piece_table(spark, definition)))
+    out = coded.groupBy("block").cogroup(packed(rows).groupBy("block")).applyInArrow(assemble, f"key long, {fields}")
     return out.withColumnRenamed("key", key)
 
 
@@ -254,10 +299,11 @@ def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
 
     The id-to-piece table is as large as the vocabulary, whatever the data, and is
     broadcast. Rows with equal keys are told apart by a hash of their ids; equal rows give one.
-    An id outside the vocabulary, or a null one, gives no piece; null ids give null.
+    An id outside the vocabulary, or a null one, gives no piece; null ids give null,
+    empty ones an empty text; an empty table gives an empty result; further columns are
+    not read.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(list(enumerate(pieces_of(read_definition(tokenizer)))), "id int, piece string")
+    table = piece_table(encoded.sparkSession, read_definition(tokenizer))
     rows = encoded.select(F.col(key).alias("key"), F.xxhash64("ids").alias("hash"), "ids").dropDuplicates(["key", "hash"])
     placed = rows.select("key", "hash", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
     texts = placed.groupBy("key", "hash").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("placed"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,13 @@ from pyspark.sql import functions as F
 from . import bpe, licenses, line_dedup, mixing, near_dedup, pii, quality, search, secrets, toxicity
 from .common import materialise
 
-#: Where the public tokenizer files are; a parameter of the queries that need one.
-TOKENIZERS = os.environ.get("LUMENSPAN_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +73,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of all documents."""
-    return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", finish=bpe.DIGESTS)
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), finish=bpe.DIGESTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
