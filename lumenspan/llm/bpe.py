@@ -7,23 +7,23 @@ one after the other, and a word's ids don't depend on where it stands.
 
 1. Each block of texts (about ``BLOCK_BYTES`` of words of one map task) lists its distinct
    words once, sorted, dealt by hash into buckets.
-2. The distinct-word table: the lists of one bucket, of all blocks, meet in one task,
-   where every distinct word is encoded once. It has a row for each word of the corpus.
-3. Decoding: the table's ids are joined with the id-to-piece table, which is as large
-   as the vocabulary at any scale, and a word's pieces put together by position.
-4. Both go back to the blocks: in each bucket, the table's rows and their pieces come
-   first and the lists of words after them, one by one, each leaving with its words' ids
-   and pieces.
-5. The words of the texts travel to their block compressed. There each position of a
+2. The distinct-word table is dealt by bucket: the lists of one bucket, of all blocks,
+   meet in one task, one after the other, and every distinct word is encoded once.
+3. Decoding: the ids of these words are joined with the id-to-piece table, which is as
+   large as the vocabulary at any scale, and a word's pieces put together by position.
+   Each list then goes back to its block with its words' ids and pieces.
+4. The words of the texts travel to their block compressed. There each position of a
    text is joined with its word, and takes its ids and pieces: a join by position.
 
 What moves is the distinct words of each block, not all its words, and the texts once,
-all compressed. No task holds more than one block, or the distinct words of one bucket;
-there are about as many buckets as the square root of the number of blocks, with
-``BUCKETS`` of them at least, so that buckets and the lists of a block both stay small. A
-word that a third of all texts hold is one entry per block. Should a lost task cut its
-blocks in another way when it runs again, a block's lists may lack some of its words;
-those are encoded on the spot.
+all compressed. The join with the pieces runs on Arrow tables where the words are
+encoded: as a join of Spark it took the table of distinct words through two more
+shuffles, and more disk than the texts have. No task holds more than one block, or the
+distinct words of one bucket; there are about as many buckets as the square root of the
+number of blocks, with ``BUCKETS`` of them at least, so that buckets and the lists of a
+block both stay small. A word that a third of all texts hold is one entry per block.
+Should a lost task cut its blocks in another way when it runs again, a block's lists may
+lack some of its words; those are encoded on the spot.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_thread, words
+from .common import one_thread, words
 
 BLOCK_BYTES = 32_000_000
 #: Texts are packed into rows of about so many bytes.
@@ -157,63 +157,43 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(over, "block long, texts binary")
 
 
-def distinct_words(lists: DataFrame, definition: Broadcast) -> DataFrame:
-    """(bucket, nth, word, ids): every distinct word of the lists once, numbered in its bucket, with its ids. The lists of a bucket follow each other in one task."""
+def joined_pieces(ids: list[list[int]], pieces: pa.Table) -> list[str]:
+    """For each word's ids its pieces joined by spaces: every (word, position, id) meets its row of pieces(id, piece)."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    word = np.repeat(np.arange(len(ids)), sizes)
+    placed = pa.table({"word": word, "pos": np.arange(len(word)) - ends[word], "id": pa.array(itertools.chain.from_iterable(ids), pa.int32(), size=len(word))})
+    told = placed.join(pieces, "id", use_threads=False).sort_by([("word", "ascending"), ("pos", "ascending")])["piece"].combine_chunks()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told), " ").to_pylist()
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bucket, known = WordEncoder(definition.value), None, set()
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if at != bucket:
-                    bucket, known = at, set()
-                fresh = [w for w in unpack.decompress(blob).split(b"\n") if w not in known]
-                for i in range(0, len(fresh), 20_000):
-                    part = fresh[i : i + 20_000]
-                    nth = pa.array(range(len(known), len(known) + len(part)), pa.int32())
-                    known.update(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), nth, pa.array(part, pa.binary()).cast(pa.string()), pa.array(encoder(part), pa.list_(pa.int32()))], ["bucket", "nth", "word", "ids"])
-
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, "bucket int, nth int, word string, ids array<int>")
 
+def encoded_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
+    """(block, coded): the lists of words with their words' ids and pieces.
 
-def with_pieces(table: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(bucket, nth, decoded) for the rows of the distinct-word table: each id joined with its piece, put together by position."""
-    placed = table.select("bucket", "nth", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
-    grouped = placed.groupBy("bucket", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("placed"))
-    return grouped.select("bucket", "nth", F.array_join(F.col("placed")["piece"], " ").alias("decoded"))
-
-
-def encoded_lists(lists: DataFrame, table: DataFrame, decoded: DataFrame) -> DataFrame:
-    """(block, coded): the lists of words with their ids and pieces.
-
-    In each bucket the rows of the distinct-word table come first, then the pieces by
-    the words' numbers, then the lists. Words without ids have no pieces.
+    The lists of a bucket follow each other in one task, which encodes each distinct word
+    when it first comes.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, named, known = None, {}, {}
+        encoder, bucket, known = WordEncoder(definition.value), None, {}
+        named = pieces_of(definition.value)
+        pieces = pa.table({"id": pa.array(range(len(named)), pa.int32()), "piece": pa.array(named, pa.string())})
         press, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
         for batch in batches:
-            blocks, blobs = [], []
-            for at, kind, block, blob, nth, word, ids, pieces in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block", "words", "nth", "word", "ids", "decoded")), strict=True):
+            blobs = []
+            for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 if at != bucket:
-                    bucket, named, known = at, {}, {}
-                if kind == 0:
-                    named[nth] = word.encode()
-                    known[named[nth]] = word + "\t" + " ".join(map(str, ids)) + "\t"
-                elif kind == 1:
-                    known[named[nth]] += pieces
-                else:
-                    blocks.append(block)
-                    blobs.append(press.compress("\n".join([known[w] for w in unpack.decompress(blob).split(b"\n")]).encode()))
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "coded"])
-
-    none = {"block": "long", "words": "binary", "nth": "int", "word": "string", "ids": "array<int>", "decoded": "string"}
-    columns = lambda df, kind: df.select("bucket", F.lit(kind).alias("kind"), *(c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()))
-    every = columns(table, 0).unionByName(columns(decoded, 1)).unionByName(columns(lists, 2))
-    return every.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(over, "block long, coded binary")
+                    bucket, known = at, {}
+                found = unpack.decompress(blob).split(b"\n")
+                fresh = [w for w in found if w not in known]
+                if fresh:
+                    ids = encoder(fresh)
+                    for word, coded, decoded in zip(fresh, ids, joined_pieces(ids, pieces), strict=True):
+                        known[word] = word + f"\t{' '.join(map(str, coded))}\t{decoded}".encode()
+                blobs.append(press.compress(b"\n".join([known[w] for w in found])))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(blobs, pa.binary())], ["block", "coded"])
+
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, "block long, coded binary")
 
 
 def digests(ids: str, pieces: str) -> tuple[int, str, str]:
@@ -273,8 +253,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
     make, fields = finish
     spark = docs.sparkSession
-    definition = read_definition(tokenizer)
-    sent = spark.sparkContext.broadcast(definition)
+    sent = spark.sparkContext.broadcast(read_definition(tokenizer))
     rows = docs.select(F.col(key).cast("long").alias("key"), words(F.col(text)).alias("words"))
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([("key", pa.int64()), *((f.split()[0], kinds[f.split()[1]]) for f in fields.split(", "))])
@@ -287,9 +266,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         columns = zip(*out, strict=True) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    lists = materialise(word_lists(rows, buckets_for(docs)), "word_lists")
-    table = materialise(distinct_words(lists, sent), "distinct_words")
-    coded = encoded_lists(lists, table, with_pieces(table, piece_table(spark, definition)))
+    coded = encoded_lists(word_lists(rows, buckets_for(docs)), sent)
     out = coded.groupBy("block").cogroup(packed(rows).groupBy("block")).applyInArrow(assemble, f"key long, {fields}")
     return out.withColumnRenamed("key", key)
 
