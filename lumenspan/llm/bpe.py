@@ -49,8 +49,10 @@ from .common import one_thread, words
 BLOCK_BYTES = 32_000_000
 #: Texts are packed into rows of about so many bytes.
 PACK_BYTES = 2_000_000
-#: Least number of buckets.
+#: Least number of buckets, and how many there are where the size of the texts isn't known.
 BUCKETS = 128
+#: Distinct words that are encoded at a time; lists of ten times as many words at most wait for them.
+AT_ONCE = 50_000
 
 
 class WordEncoder:
@@ -89,7 +91,7 @@ def piece_table(spark, definition: str) -> DataFrame:
 def buckets_for(docs: DataFrame) -> int:
     """Buckets by the optimiser's estimate of the size of docs: four for each side of the square that the blocks fill."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(BUCKETS, min(2**16, 4 * math.isqrt(3 * size // BLOCK_BYTES)))
+    return BUCKETS if size >= 2**60 else max(BUCKETS, min(2**16, 4 * math.isqrt(3 * size // BLOCK_BYTES)))
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], pa.ListArray]]:
@@ -179,19 +181,40 @@ def encoded_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
         named = pieces_of(definition.value)
         pieces = pa.table({"id": pa.array(range(len(named)), pa.int32()), "piece": pa.array(named, pa.string())})
         press, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+        held: list[tuple[int, int, list[bytes]]] = []
+        fresh: dict[bytes, None] = {}
+        words_held = 0
+
+        def flush() -> pa.RecordBatch:
+            """The lists held, once their new words are encoded; of what is known, the last bucket's words stay."""
+            new = list(fresh)
+            ids = encoder(new)
+            for word, coded, decoded in zip(new, ids, joined_pieces(ids, pieces) if new else [], strict=True):
+                known[word] = word + f"\t{' '.join(map(str, coded))}\t{decoded}".encode()
+            blobs = [press.compress(b"\n".join([known[w] for w in found])) for _, _, found in held]
+            out = pa.RecordBatch.from_arrays([pa.array([block for _, block, _ in held], pa.int64()), pa.array(blobs, pa.binary())], ["block", "coded"])
+            if held[0][0] != held[-1][0]:
+                last = {w for at, _, found in held if at == held[-1][0] for w in found}
+                for word in [w for w in known if w not in last]:
+                    del known[word]
+            held.clear()
+            fresh.clear()
+            return out
+
         for batch in batches:
-            blobs = []
-            for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if at != bucket:
-                    bucket, known = at, {}
+            for at, block, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words")), strict=True):
+                if bucket != at and not held:
+                    known.clear()
+                bucket = at
                 found = unpack.decompress(blob).split(b"\n")
-                fresh = [w for w in found if w not in known]
-                if fresh:
-                    ids = encoder(fresh)
-                    for word, coded, decoded in zip(fresh, ids, joined_pieces(ids, pieces), strict=True):
-                        known[word] = word + f"\t{' '.join(map(str, coded))}\t{decoded}".encode()
-                blobs.append(press.compress(b"\n".join([known[w] for w in found])))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(blobs, pa.binary())], ["block", "coded"])
+                fresh.update((w, None) for w in found if w not in known)
+                held.append((at, block, found))
+                words_held += len(found)
+                if len(fresh) >= AT_ONCE or words_held >= 10 * AT_ONCE:
+                    yield flush()
+                    words_held = 0
+        if held:
+            yield flush()
 
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, "block long, coded binary")
 
