@@ -68,6 +68,25 @@ def quotable(claim: Column, text: Column) -> Column:
     return T.span_in_text(claim, text)
 
 
+def quoted_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of docs(doc_id, text) that hold a passage(item_id, text), as span_in_text() finds it.
+
+    A passage's inner words must all be words of the document, so documents are joined by
+    the one that fewest of them have. The first and last word may be parts of words: a
+    passage without an inner word is held against every document.
+    """
+    inner = F.filter(F.flatten(F.transform(F.split("text", r"\.\.\.|…"), lambda p: F.slice(F.split(T.normal(p), " "), 2, F.greatest(F.size(F.split(T.normal(p), " ")) - 2, F.lit(0))))), lambda w: w != "")
+    asked = passages.select("item_id", F.col("text").alias("passage"), F.array_distinct(inner).alias("words"))
+    wanted = asked.select("item_id", F.explode("words").alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(T.normal(F.col("text")), " "))).alias("word")).join(wanted.select("word").distinct(), "word")
+    # a word that no document has makes its passage stand in none
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    near = held.join(rarest, "word").select("doc_id", "item_id").distinct().join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", "passage"), "item_id")
+    bare = docs.select("doc_id", "text").crossJoin(F.broadcast(asked.where(F.size("words") == 0).select("item_id", "passage")))
+    return near.unionByName(bare).where(T.span_in_text(F.col("passage"), F.col("text"))).select("doc_id", "item_id").distinct()
+
+
 def unit_votes(votes: DataFrame) -> DataFrame:
     """(claim, id, pos, supported) of votes(claim, id, pos, run, verdict, span, content): a yes without a span in the text is a no; strictly more yes than no."""
     yes = (F.col("verdict") == "yes") & T.span_in_text(F.coalesce("span", F.lit("")), F.col("content"))
@@ -133,3 +152,103 @@ def intake(share: Column, low: Column, high: Column, census: Column, bar: float)
 def missing_evidence(linked: DataFrame, plain: DataFrame) -> DataFrame:
     """Evidence that only the linked run of a question has."""
     return linked.join(plain.select("qid", "id"), ["qid", "id"], "left_anti")
+
+
+def entailment(pairs: DataFrame, score: Callable[[Column, Column], Column], margin: float = 0.0, min_words: int = 4) -> DataFrame:
+    """(key, entailed, span, score) of pairs(key, premise, hypothesis), by a scorer of (sentence, hypothesis) that returns {yes, other}.
+
+    The sentence of the premise with the greatest yes is the span; the first of equals.
+    It must beat the greater of the other labels by the margin. Sentences of few words
+    count only if there are no others. A blank hypothesis is never entailed.
+    """
+    cut = T.premises(F.col("premise"))
+    long = F.filter(cut, lambda s: F.size(T.words(s)) >= min_words)
+    rows = pairs.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "").select("key", F.posexplode(F.when(F.size(long) > 0, long).otherwise(cut)).alias("nth", "sentence"), T.collapsed(F.col("hypothesis")).alias("hypothesis"))
+    scored = rows.withColumn("_s", score(F.col("sentence"), F.col("hypothesis")))
+    best = scored.groupBy("key").agg(F.max_by(F.struct("sentence", "_s"), F.struct(F.col("_s")["yes"], -F.col("nth"))).alias("b"))
+    out = pairs.select("key").distinct().join(best, "key", "left")
+    carried = F.coalesce(F.col("b._s")["yes"] - F.col("b._s")["other"] > margin, F.lit(False))
+    return out.select("key", carried.alias("entailed"), F.coalesce("b.sentence", F.lit("")).alias("span"), F.col("b._s")["yes"].alias("score"))
+
+
+def entails_any(flags: DataFrame, by: str) -> DataFrame:
+    """(by, entailed, span) of flags(by, nth, entailed, span): whether any fact is carried, and the span of the first that is."""
+    return flags.groupBy(by).agg(F.bool_or("entailed").alias("entailed"), F.coalesce(F.min_by("span", F.when(F.col("entailed"), F.col("nth"))), F.lit("")).alias("span"))
+
+
+def entails_all(flags: DataFrame, by: str) -> DataFrame:
+    """(by, entailed): whether every fact is carried; none at all is no."""
+    return flags.groupBy(by).agg(F.coalesce(F.bool_and("entailed"), F.lit(False)).alias("entailed"))
+
+
+def word_overlap(sentence: Column, hypothesis: Column) -> Column:
+    """An offline scorer for entailment(): the share of the hypothesis' terms that the sentence has, against the rest."""
+    wanted = F.array_distinct(T.tokens(hypothesis))
+    share = F.size(F.array_intersect(wanted, T.tokens(sentence))) / F.greatest(F.size(wanted), F.lit(1))
+    return F.struct(share.alias("yes"), (1 - share).alias("other"))
+
+
+def verdict_rows(verdicts: DataFrame) -> DataFrame:
+    """A row for each unit of verdicts(qid, type, original_type, units: array<struct<unit_id, kept, span, reason, text>>), as an auditor sees it; a dropped question's type tells so."""
+    kind = F.coalesce("type", F.concat(F.lit("dropped("), "original_type", F.lit(")")))
+    rows = verdicts.select("qid", kind.alias("type"), F.explode("units").alias("u"))
+    return rows.select("qid", "type", F.when(F.col("u.kept"), "kept").otherwise("dropped").alias("verdict"), "u.unit_id", T.collapsed(F.col("u.text")).alias("unit_text"), F.when(F.col("u.kept"), F.col("u.span")).otherwise(F.col("u.reason")).alias("span_or_reason"))
+
+
+def gold_rows(verdicts: DataFrame, units: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(qid, type, gold_modalities, gold_unit_ids, gold_units, proposed, kept, topic) of questions that verification kept.
+
+    Of their units only those kept are gold, in the order given; kinds come in the fixed
+    order; what the proposal carried goes along.
+    """
+    from .views import in_modality_order
+
+    listed = verdicts.where("type IS NOT NULL").select("qid", "type", F.size("units").alias("proposed"), F.posexplode("units").alias("nth", "u")).where("u.kept")
+    found = listed.join(units.select(F.col("id").alias("_id"), "modality", T.locator_of(F.col("source_file"), F.col("location")).alias("place")), F.col("u.unit_id") == F.col("_id"))
+    grouped = found.groupBy("qid", "type", "proposed").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("_id").alias("id"), "place"))).alias("g"), in_modality_order(F.collect_set("modality")).alias("gold_modalities"))
+    rows = grouped.select("qid", "type", "gold_modalities", F.col("g")["id"].alias("gold_unit_ids"), F.col("g")["place"].alias("gold_units"), "proposed", F.size("g").alias("kept"))
+    return rows.join(proposals.select("qid", "topic"), "qid", "left")
+
+
+def source_runs(runs: DataFrame) -> DataFrame:
+    """(qid, source, passed, reason) of runs(qid, source, context, run, verdict, reason): a source without text fails, others by strict majority."""
+    some = F.trim(F.coalesce("context", F.lit(""))) != ""
+    tally = runs.groupBy("qid", "source").agg(F.bool_or(some).alias("_some"), (F.count_if(F.col("verdict") == "PASS") * 2 > F.count("*")).alias("_won"))
+    side = runs.join(tally, ["qid", "source"]).where((F.col("verdict") == "PASS") == F.col("_won")).groupBy("qid", "source").agg(F.min_by("reason", "run").alias("_why"))
+    rows = tally.join(side, ["qid", "source"], "left")
+    return rows.select("qid", "source", (F.col("_some") & F.col("_won")).alias("passed"), F.when(F.col("_some"), F.col("_why")).otherwise("no text from this source").alias("reason"))
+
+
+def verified(proposed: DataFrame, runs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(qid, type, reason, kept) of proposed(qid, type): relabelled by which sources alone answer it, and dropped, with a null type, without a kept unit.
+
+    runs as for source_runs, with sources audio, deck, paper and all; kept(qid, n).
+    """
+    flags = source_runs(runs).groupBy("qid").agg(*(F.coalesce(F.bool_or((F.col("source") == s) & F.col("passed")), F.lit(False)).alias(s) for s in ("audio", "deck", "paper", "all")))
+    rows = proposed.join(flags, "qid", "left").join(kept, "qid", "left").fillna({"audio": False, "deck": False, "paper": False, "all": False, "n": 0})
+    told = relabelled(F.col("type"), F.col("audio"), F.col("deck"), F.col("paper"), F.col("all"))
+    none = F.col("n") == 0
+    return rows.select("qid", F.when(~none, told["type"]).alias("type"), F.when(none, "no proposed unit survived").otherwise(told["reason"]).alias("reason"), F.col("n").alias("kept"))
+
+
+def grounding_table(answers: DataFrame) -> DataFrame:
+    """(mode, method, claims, unsupported, rate, correctness, abstentions) of answers(mode, method, claims, unsupported, cited, correct, abstained)."""
+    n = lambda c: F.sum(c).alias(c)
+    return answers.groupBy("mode", "method").agg(n("claims"), n("unsupported"), F.try_divide(F.sum("unsupported"), F.sum("claims")).alias("rate"), F.try_divide(F.sum("correct"), F.sum("cited")).alias("correctness"), F.sum(F.col("abstained").cast("long")).alias("abstentions"))
+
+
+def verdict_difference(a_type: Column, b_type: Column, a_kept: Column, b_kept: Column, n: Column, a_sources: Column, b_sources: Column, a_name: str, b_name: str) -> Column:
+    """Why two verifications of a question type it differently, in a sentence."""
+    word = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ", ")).otherwise("none")
+    return (
+        F.when(b_type.isNull(), F.format_string(f"{b_name} kept %d of %d units, {a_name} %d", b_kept, n, a_kept))
+        .when(a_type.isNull(), F.format_string(f"{a_name} dropped it, {b_name} kept %d of %d units", b_kept, n))
+        .otherwise(F.format_string(f"answered by %s under {a_name}, by %s under {b_name}; kept %d and %d of %d units", word(a_sources), word(b_sources), a_kept, b_kept, n))
+    )
+
+
+def proposed_question(reply: Column) -> Column:
+    """{question, answer} of a proposer's reply, null unless it has both."""
+    read = F.from_json(T.json_object(reply), "struct<question:string,answer:string>")
+    both = (F.trim(F.coalesce(read["question"], F.lit(""))) != "") & (F.trim(F.coalesce(read["answer"], F.lit(""))) != "")
+    return F.when(both, read)

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-USAGE = ("calls", "cached_calls", "prompt_tokens", "completion_tokens", "cached_prompt_tokens", "cached_completion_tokens", "reasoning_tokens", "failed_calls", "audio_seconds")
+USAGE = ("calls", "cached_calls", "prompt_tokens", "completion_tokens", "cached_prompt_tokens", "cached_completion_tokens", "reasoning_tokens", "failed_calls", "audio_seconds", "cached_audio_seconds", "estimated_tokens")
 
 
 def price_for(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -86,3 +86,39 @@ def manifest_warning(stamp: str | None, current: str | None) -> str | None:
     if current is None:
         return "no manifest to compare with"
     return None if stamp == current else f"made for manifest {stamp}, but the corpus has {current}"
+
+
+class Refused(RuntimeError):
+    """What a policy doesn't let a run do."""
+
+
+def refuse_strong(blocks: dict[str, dict], cheap: list[str], allow: bool = False, cache_only: tuple[str, ...] = ()) -> None:
+    """Batch runs use cheap models, by prefix, or free ones; others need leave. A block that only replays stored replies can't spend."""
+    for where, block in blocks.items():
+        model = str(block.get("model", ""))
+        if where in cache_only or allow or not model or block.get("billing") == "free":
+            continue
+        if not any(model == c or model.startswith(f"{c}-") for c in cheap):
+            raise Refused(f"{where}: {model} is not a cheap model")
+
+
+def refuse_ablation(backend: str, frozen: list[str], paths: list[str]) -> None:
+    """An entailment model may not write what is kept: neither under the folders of gold, nor the reports themselves."""
+    kept = [p for p in paths if any(p.rstrip("/") == f or p.startswith(f"{f}/") for f in frozen)]
+    if backend == "nli" and kept:
+        raise Refused(f"an ablation may not write {', '.join(kept)}")
+
+
+def refuse_billing(judge: dict, max_cost: float, cache_only: bool) -> None:
+    """A judge that bills needs a budget."""
+    if not (cache_only or max_cost > 0 or judge.get("billing") == "free"):
+        raise Refused(f"judge {judge.get('model')} bills: nothing was sent")
+
+
+def allowed(check, *args, **options) -> bool:
+    """Whether a policy lets something pass."""
+    try:
+        check(*args, **options)
+    except Refused:
+        return False
+    return True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ...operators import ranking, units
@@ -36,15 +36,13 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every hundredth customer the orders as seeds, by price."""
-    o = table(spark, sf, "orders").where("o_custkey % 100 = 0")
+    """Of every twentieth customer the orders as seeds, by price."""
+    o = table(spark, sf, "orders").where("o_custkey % 20 = 0")
     return o.select(F.col("o_custkey").alias("qid"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("o_totalprice").alias("score"))
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as spans of seconds up to the next."""
-    from pyspark.sql import Window
-
     e = table(spark, sf, "events")
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)") / 1e6
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -64,6 +62,36 @@ def matrix(spark: SparkSession, sf: str, slides: int = 12) -> DataFrame:
     return e.select(F.col("label").alias("pair"), F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, slides)).alias("j", "s")).select("pair", "i", F.col("j").cast("long").alias("j"), F.round(F.col("s").cast("double"), 6).alias("s"))
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as units of four kinds, every third one's file a deck; recordings have times, the others pages."""
+    d = F.col("doc_id")
+    audio = d % 4 == 3
+    kind = F.element_at(F.array(*map(F.lit, ("text", "figure", "table", "audio"))), (d % 4 + 1).cast("int"))
+    where = units.location(page=F.when(~audio, d % 50), start_s=F.when(audio, d * 1.25), end_s=F.when(audio, d * 1.25 + 10))
+    return table(spark, sf, "documents").select(
+        d.alias("pos"), F.concat_ws(":", "source", d.cast("string")).alias("id"), kind.alias("modality"), F.col("text").alias("content"),
+        F.concat(F.lit("in/"), "source", F.when(audio, ".mp3").otherwise(".pdf")).alias("source_file"), where.alias("location"), (d % 3 == 0).alias("deck"), "lang",
+    )
+
+
+def in_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text, lang, item_id, passage): each document with one passage of the benchmark, which are taken in turn."""
+    items = table(spark, sf, "benchmark")
+    number = F.row_number().over(Window.orderBy("item_id")) - 1
+    placed = items.select("item_id", F.col("text").alias("passage"), number.alias("_n"))
+    docs = table(spark, sf, "documents").crossJoin(F.broadcast(items.agg(F.count("*").alias("_of"))))
+    return docs.withColumn("_n", F.col("doc_id") % F.col("_of")).join(placed, "_n").select("doc_id", "text", "lang", "item_id", "passage")
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of documents as blocks of a page in two columns: every seventh an image, every fifth with a caption's beginning."""
+    n = F.col("nth")
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    x, y = (n % 2) * 300.0, n * 60.0
+    text = F.when(n % 5 == 4, F.concat(F.lit("Figure "), (n % 12).cast("string"), F.lit(": "), "line")).otherwise(F.col("line"))
+    return lines.select("page", n.cast("long").alias("nth"), F.when(n % 7 == 6, 1).otherwise(0).alias("kind"), F.array(x, y, x + 280.0, y + 45.0).alias("box"), text.alias("text"))
+
+
 # -- the same in SQL ----------------------------------------------------------
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -100,3 +128,28 @@ MATRIX = """
 matrix AS (
   SELECT label AS pair, vec_id AS i, unnest(range(0, 12)) AS j, round(unnest(embedding[1:12])::DOUBLE, 6) AS s FROM embeddings)
 """
+
+CORPUS = """
+corpus AS (
+  SELECT doc_id AS pos, source || ':' || doc_id AS id, ['text', 'figure', 'table', 'audio'][doc_id % 4 + 1] AS modality, text AS content, lang,
+         source || CASE WHEN doc_id % 4 = 3 THEN '.mp3' ELSE '.pdf' END AS file, CASE WHEN doc_id % 4 <> 3 THEN doc_id % 50 END AS page,
+         CASE WHEN doc_id % 4 = 3 THEN (doc_id * 1.25)::DOUBLE END AS start_s, CASE WHEN doc_id % 4 = 3 THEN (doc_id * 1.25 + 10)::DOUBLE END AS end_s, doc_id % 3 = 0 AS deck FROM documents)
+"""
+
+IN_TURN = """
+placed AS (SELECT item_id, text AS passage, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS m FROM benchmark),
+in_turn AS (SELECT doc_id, d.text, lang, item_id, passage FROM documents d JOIN placed ON d.doc_id % m = n)
+"""
+
+BLOCKS = r"""
+cut AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM documents),
+blocks AS (
+  SELECT page, nth, CASE WHEN nth % 7 = 6 THEN 1 ELSE 0 END AS kind, (nth % 2) * 300.0::DOUBLE AS x0, nth * 60.0::DOUBLE AS y0, (nth % 2) * 300.0::DOUBLE + 280 AS x1, nth * 60.0::DOUBLE + 45 AS y1,
+         CASE WHEN nth % 5 = 4 THEN 'Figure ' || nth % 12 || ': ' || line ELSE line END AS text FROM cut)
+"""
+
+
+def clock(seconds: str, how: str = "round_even({}, 0)") -> str:
+    """m:ss of seconds in SQL."""
+    whole = how.format(seconds) + "::BIGINT"
+    return f"(({whole}) // 60) || ':' || lpad((({whole}) % 60)::VARCHAR, 2, '0')"

@@ -64,10 +64,12 @@ def iou_hit_at_k(spark, sf):
 
 
 def _places(spark, sf):
-    """Documents as units on pages of their source; every seventh's page as gold, half of it beside the mark."""
-    docs = table(spark, sf, "documents")
-    found = docs.where("doc_id % 3 = 0").select((F.col("doc_id") % 10).alias("qid"), F.col("source").alias("source_file"), F.struct((F.col("doc_id") % 50).cast("int").alias("page"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s")).alias("location"))
-    gold = docs.where("doc_id % 7 = 0").select((F.col("doc_id") % 10).alias("qid"), "doc_id", F.struct(F.col("source"), (F.col("doc_id") % 50).cast("int").alias("page"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s")).alias("place"))
+    """Documents as units on pages of their source; for each a gold place on a page that may or may not hold one."""
+    docs, d = table(spark, sf, "documents"), F.col("doc_id")
+    none = F.lit(None).cast("double")
+    place = lambda page, *first: F.struct(*first, page.cast("int").alias("page"), none.alias("start_s"), none.alias("end_s"))
+    found = docs.select((d % 10).alias("qid"), F.col("source").alias("source_file"), place(d % 50).alias("location"))
+    gold = docs.select((d % 10).alias("qid"), "doc_id", place((d * 3) % 50, F.col("source")).alias("place"))
     return found, gold
 
 
@@ -85,9 +87,8 @@ def gold_coverage(spark, sf):
 
 
 _GOLD = """
-hits AS (
-  SELECT g.doc_id % 10 AS qid, g.doc_id, EXISTS (SELECT 1 FROM documents u WHERE u.doc_id % 3 = 0 AND u.doc_id % 10 = g.doc_id % 10 AND u.source = g.source AND u.doc_id % 50 = g.doc_id % 50) AS hit
-  FROM documents g WHERE g.doc_id % 7 = 0)
+held AS (SELECT DISTINCT doc_id % 10 AS qid, source, doc_id % 50 AS page FROM documents),
+hits AS (SELECT g.doc_id % 10 AS qid, g.doc_id, h.page IS NOT NULL AS hit FROM documents g LEFT JOIN held h ON h.qid = g.doc_id % 10 AND h.source = g.source AND h.page = (g.doc_id * 3) % 50)
 """
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...functions import stats as S
 from ...functions import text as T
 from ...operators import evaluation, evidence, sampling
-from .base import table
+from .base import IN_TURN, in_turn, table
 
 
 def _judges(spark, sf):
@@ -59,11 +59,10 @@ def macro_prf(spark, sf):
 
 
 def token_f1(spark, sf):
-    """Benchmark passages as answers, the documents of the same remainder as references."""
-    items = table(spark, sf, "benchmark").select("item_id", T.ascii_tokens(F.col("text")).alias("p"))
-    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), T.ascii_tokens(F.col("text")).alias("r"))
+    """Benchmark passages in turn as answers, the documents as references."""
+    rows = in_turn(spark, sf).select("doc_id", "item_id", T.ascii_tokens(F.col("passage")).alias("p"), T.ascii_tokens(F.col("text")).alias("r"))
     s = S.set_prf(F.col("p"), F.col("r"))
-    return docs.join(items, "item_id").select("doc_id", "item_id", *(F.round(s[c], 6).alias(c) for c in ("p", "r", "f1")))
+    return rows.select("doc_id", "item_id", *(F.round(s[c], 6).alias(c) for c in ("p", "r", "f1")))
 
 
 def ngram_bleu(spark, sf):
@@ -197,9 +196,9 @@ labels_ AS (SELECT truth AS label FROM p UNION SELECT pred FROM p WHERE pred IS
 c AS (SELECT label, (SELECT count(*) FROM p WHERE truth = label) AS t, (SELECT count(*) FROM p WHERE pred = label) AS g, (SELECT count(*) FROM p WHERE truth = label AND pred = label) AS tp FROM labels_)
 SELECT sum(t)::BIGINT AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(CASE WHEN g > 0 THEN tp / g ELSE 0 END), 6) AS p, round(avg(CASE WHEN t > 0 THEN tp / t ELSE 0 END), 6) AS r,
   round(avg(CASE WHEN tp > 0 THEN 2 * tp / (g + t) ELSE 0 END), 6) AS f1 FROM c"""),
-    "token_f1": (token_f1, """
-WITH x AS (
-  SELECT doc_id, item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS p, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS r FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+    "token_f1": (token_f1, f"""
+WITH {IN_TURN}, x AS (
+  SELECT doc_id, item_id, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS p, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS r FROM in_turn),
 y AS (SELECT *, len(list_intersect(p, r)) AS k FROM x),
 z AS (SELECT *, CASE WHEN len(p) > 0 THEN k / len(p) ELSE 0 END AS pp, CASE WHEN len(r) > 0 THEN k / len(r) ELSE 0 END AS rr FROM y)
 SELECT doc_id, item_id, round(pp, 6) AS p, round(rr, 6) AS r, round(CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0 END, 6) AS f1 FROM z"""),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...functions import text as T
-from ...operators import links, ranking, segments, units
+from ...operators import evidence, links, ranking, segments, units
 from ...sources import readers
 from .base import CHUNKS, TOKENS, chunks, table
 
@@ -93,7 +93,7 @@ def json_claims_parse(spark, sf):
 
 
 def text_scalars(spark, sf):
-    c = F.substring("text", 1, 2000)
+    c = F.col("text")
     return table(spark, sf, "documents").select(
         "doc_id", T.excerpt(c).alias("excerpt"), T.normal(c).alias("normal"), T.estimated_tokens(F.col("text")).alias("tokens"),
         T.cost_text(F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") / 1e4)).alias("cost"), T.file_name(F.concat(F.lit("a/b/"), F.col("source"))).alias("file"),
@@ -101,10 +101,9 @@ def text_scalars(spark, sf):
 
 
 def span_in_text(spark, sf):
-    """Whether each benchmark passage of the documents' own length stands in its document."""
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    pairs = docs.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(items.withColumnRenamed("text", "passage"), "item_id")
-    return pairs.select("doc_id", "item_id", T.span_in_text(F.col("passage"), F.col("text")).alias("found"))
+    """All documents that hold a passage of the benchmark word for word, of all passages."""
+    found = evidence.quoted_spans(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id")
 
 
 _SENTENCES = r"""
@@ -165,12 +164,12 @@ SELECT event_id,
        (floor(s)::BIGINT // 60) || ':' || lpad((floor(s)::BIGINT % 60)::VARCHAR, 2, '0') AS floored FROM x"""),
     "json_claims_parse": (json_claims_parse, "SELECT event_id, event_type AS answer, 1::BIGINT AS n_claims, 't' || event_id AS first_claim, 2::BIGINT AS n_units, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "text_scalars": (text_scalars, r"""
-WITH c AS (SELECT doc_id, text, source, substr(text, 1, 2000) AS t FROM documents),
+WITH c AS (SELECT doc_id, text, source, text AS t FROM documents),
 w AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g'), ' ') AS one FROM c)
 SELECT doc_id, CASE WHEN length(one) <= 360 THEN one ELSE regexp_replace(substr(one, 1, 360), '\s\S*$', '') || '…' END AS excerpt,
        trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' ') AS normal, round_even(length(text) / 4, 0)::BIGINT AS tokens,
        CASE WHEN doc_id % 5 = 0 THEN 'price unknown' ELSE '$' || printf('%.4f', doc_id / 1e4) END AS cost, source AS file FROM w"""),
     "span_in_text": (span_in_text, """
-SELECT doc_id, item_id, position(trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g'), ' ') IN trim(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g'), ' ')) > 0 AS found
-FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id"""),
+WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS t FROM documents), p AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS t FROM benchmark)
+SELECT doc_id, item_id FROM n JOIN p ON p.t <> '' AND contains(n.t, p.t)"""),
 }

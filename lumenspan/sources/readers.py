@@ -8,17 +8,21 @@ Formats that need a codec or a model take a callable for it.
 from __future__ import annotations
 
 import io
+import json
+import shutil
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.segments import islands
+from ..operators import regions
+from ..operators.segments import fixed_spans, islands
 from ..operators.units import LOCATION, location, word_windows
+from . import scratch
 
 # Which reader takes which suffix.
 KINDS = {"pdf": "pdf", "docx": "docx", "wav": "audio", "mp3": "audio", "m4a": "audio", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
@@ -163,3 +167,119 @@ def page_range(units: DataFrame, first: int, last: int) -> DataFrame:
     if first < 1 or last < first:
         raise ValueError(f"no such range of pages: {first} to {last}")
     return units.where(F.col("location.page").between(first, last))
+
+
+def index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(units, meta) that sinks.index wrote."""
+    return spark.read.parquet(f"{path}/units"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict]:
+    """(rows, meta) of JSON lines whose _meta line, if any, is kept apart."""
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").startswith('{"_meta"')).first()
+    rows = lines.where(~F.col("value").startswith('{"_meta"')).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return rows, json.loads(head[0])["_meta"] if head else {}
+
+
+def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A stored manifest, or nothing where there is none."""
+    return spark.read.schema(schema).json(path) if scratch.exists(spark, path) else None
+
+
+def named(spark: SparkSession, given: str, schema: str) -> DataFrame:
+    """Rows of 'path=name', with the name beside."""
+    path, _, name = given.rpartition("=")
+    return spark.read.schema(schema).json(path).withColumn("name", F.lit(name))
+
+
+def config(text: str, backend: str | None = None) -> dict:
+    """Settings of a JSON text. A backend's block replaces the endpoint keys of the model, and those alone; budget and prices go along."""
+    out = json.loads(text)
+    models = out.setdefault("models", {})
+    chosen = models.get("backends", {}).get(backend or models.get("backend", ""), {})
+    # fixed values: what a backend may decide
+    models["llm"] = models.get("llm", {}) | {k: v for k, v in chosen.items() if k in ("model", "base_url", "api_key_env", "billing", "backend")}
+    models["llm"] |= {"budget": out.get("budget", {}), "pricing": models.get("pricing", {})}
+    return out
+
+
+def spoken_units(words: DataFrame, segmentation: str = "sentence", seconds: float = 30.0) -> DataFrame:
+    """Units '<stem>:a<n>' of words(source_file, nth, start, end, text): sentences, or fixed spans of so many seconds, with their words."""
+    if segmentation not in ("sentence", "fixed"):
+        raise ValueError(f"segmentation is 'sentence' or 'fixed', not {segmentation!r}")
+    if segmentation == "sentence":
+        before = F.lag("text").over(Window.partitionBy("source_file").orderBy("nth"))
+        cut = islands(words.withColumn("_ends", before.rlike(T.TERMINAL)), ["source_file"], ["nth"], F.col("_ends"), "_n").drop("_ends")
+    else:
+        cut = fixed_spans(words, "source_file", seconds).withColumnRenamed("bucket", "_n")
+    listed = F.array_sort(F.collect_list(F.struct("nth", "start", "end", "text")))
+    rows = cut.groupBy("source_file", "_n").agg(listed.alias("w"))
+    told = F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    stem = F.regexp_replace(T.file_name(F.col("source_file")), r"\.[^.]+$", "")
+    return rows.select(
+        F.concat(stem, F.lit(":a"), F.col("_n").cast("string")).alias("id"), F.lit("audio").alias("modality"), F.array_join(F.col("w")["text"], " ").alias("content"), "source_file",
+        location(start_s=F.array_min(F.col("w")["start"]), end_s=F.array_max(F.col("w")["end"])).alias("location"), told.alias("words"),
+    )
+
+
+def page_layout(blocks: DataFrame, drawings: DataFrame, pages: DataFrame, landscape: float = 0.6, deck: bool | None = None) -> DataFrame:
+    """Units of paged files: (id, modality, content, source_file, location, deck).
+
+    blocks(source_file, page, nth, kind, box, text), drawings(source_file, page, box) and
+    pages(source_file, page, width, height) come from whatever parses the format. Texts are
+    windows of a page's words; a file with landscape pages for the most part is a deck,
+    unless told. Figures of decks are merged drawings under the page's title, those of
+    papers the regions above captions.
+    """
+    key = F.concat_ws("\u001f", "source_file", F.col("page").cast("string"))
+    part = lambda i: F.split("page_key", "\u001f")[i]
+    flags = pages.groupBy("source_file").agg((F.avg((F.col("width") > F.col("height")).cast("double")) >= landscape).alias("deck"))
+    flags = flags if deck is None else flags.withColumn("deck", F.lit(deck))
+    told = regions.text_blocks(blocks).withColumn("page_key", key)
+    texts = told.groupBy("source_file", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), " ").alias("text"))
+    stem = F.regexp_replace(T.file_name(F.col("source_file")), r"\.[^.]+$", "")
+    number = lambda mark: F.concat(stem, F.lit(":p"), F.col("page").cast("string"), F.lit(mark), F.col("n").cast("string"))
+    windows = texts.select("source_file", "page", F.posexplode(word_windows(T.words(F.col("text")))).alias("n", "window"))
+    text_units = windows.select(number(":t").alias("id"), F.lit("text").alias("modality"), F.array_join("window.words", " ").alias("content"), "source_file", location(page=F.col("page")).alias("location"))
+    sheets = pages.withColumn("page_key", key)
+    drawn = regions.figures(drawings.withColumn("page_key", key), sheets.select("page_key", "width", "height"), "page_key").where("kind = 'kept'")
+    titled = drawn.join(regions.titles(told, "page_key"), "page_key", "left").select("page_key", "box", F.coalesce("title", F.lit("")).alias("caption"))
+    anchored = regions.captioned(told, "page_key").select("page_key", "box", "caption")
+    both = titled.withColumn("_deck", F.lit(True)).unionByName(anchored.withColumn("_deck", F.lit(False))).select(part(0).alias("source_file"), part(1).cast("int").alias("page"), "box", "caption", "_deck")
+    chosen = both.join(flags, "source_file").where(F.col("deck") == F.col("_deck"))
+    placed = chosen.withColumn("n", F.row_number().over(Window.partitionBy("source_file", "page").orderBy("box")) - 1)
+    figure_units = placed.select(number(":f").alias("id"), F.lit("figure").alias("modality"), F.col("caption").alias("content"), "source_file", location(page=F.col("page"), bbox=F.col("box")).alias("location"))
+    return text_units.unionByName(figure_units).join(flags, "source_file")
+
+
+def image_units(images: DataFrame, read: Callable[[bytes], str] | None = None) -> DataFrame:
+    """A figure unit for each of images(name, width, height, content): its text as an OCR callable reads it, white space collapsed, '' without one."""
+    stem = F.regexp_replace("name", r"\.[^.]+$", "")
+    if read is None:
+        text = F.lit("")
+    else:
+        text = T.collapsed(F.pandas_udf(lambda s: s.map(lambda b: read(b)), "string")(F.col("content")))
+    whole = F.array(F.lit(0.0), F.lit(0.0), F.col("width").cast("double"), F.col("height").cast("double"))
+    return images.select(F.concat(stem, F.lit(":f0")).alias("id"), F.lit("figure").alias("modality"), text.alias("content"), F.col("name").alias("source_file"), location(bbox=whole).alias("location"))
+
+
+def ocr_available(program: str = "tesseract") -> bool:
+    return shutil.which(program) is not None
+
+
+def topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, files, first, last) of a JSON list of topics; the pages of notes are optional."""
+    rows = spark.read.schema("topic string, files array<string>, notes_pages array<int>").option("multiLine", True).json(path)
+    return rows.select("topic", "files", F.get("notes_pages", F.lit(0)).alias("first"), F.get("notes_pages", F.lit(1)).alias("last"))
+
+
+def truth_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """(t, text, slide) of a sheet with Time, Text and Key: missing texts are '', rows without a time go."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.where(F.trim(F.coalesce("Time", F.lit(""))) != "").select(F.col("Time").try_cast("double").alias("t"), F.coalesce("Text", F.lit("")).alias("text"), F.col("Key").try_cast("int").alias("slide"))
+
+
+def table_links(lines: DataFrame) -> DataFrame:
+    """(id, url) of lines(text) 'name url' as a document's table gives them; a final dot of the address goes."""
+    return lines.where(F.col("text").rlike(r"^\s*\S+\s+https?://")).select(F.regexp_extract("text", r"^\s*(\S+)", 1).alias("id"), F.rtrim(F.regexp_extract("text", r"(https?://\S+)", 1), F.lit(".")).alias("url"))

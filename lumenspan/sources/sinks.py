@@ -81,3 +81,22 @@ def markdown(rows: DataFrame, title: str, limit: int = 1000) -> str:
     head, body = rows.columns, rows.limit(limit).collect()
     lines = [f"# {title}", "", f"| {' | '.join(head)} |", f"|{'---|' * len(head)}"]
     return "\n".join([*lines, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in body)]) + "\n"
+
+
+def json_lines(rows: DataFrame, path: str, meta: dict | None = None) -> None:
+    """Rows as JSON lines, with what is known of them in a _meta line where it is given: gold questions, verdicts, gates."""
+    out = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    if meta is not None:
+        out = rows.sparkSession.createDataFrame([(json.dumps({"_meta": meta}, sort_keys=True),)], "value string").unionByName(out)
+    out.write.mode("overwrite").text(path)
+
+
+def transcripts(words: DataFrame, path: str) -> None:
+    """words(source_file, nth, start, end, text) as one {audio, words} object for each recording."""
+    cell = F.array(F.col("start").cast("string"), F.col("end").cast("string"), F.col("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", cell.alias("w")))), lambda x: x["w"])
+    words.groupBy(F.col("source_file").alias("audio")).agg(listed.alias("words")).write.mode("overwrite").json(path)
+
+
+def manifest(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)

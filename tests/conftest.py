@@ -3,6 +3,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,7 +42,7 @@ def rows_of(frame):
     """Rows as sorted tuples of text, columns by name, so that results of two engines can be compared."""
 
     def cell(x):
-        if x is None or x != x:
+        if x is None or (not isinstance(x, (list, tuple)) and getattr(x, "ndim", 0) == 0 and pd.isna(x)):
             return "null"
         return f"{x:.9f}" if isinstance(x, float) else str(x)
 
