@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ...operators import ranking, units
+from ...sources import scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +17,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return units.chunked(table(spark, sf, "documents"))
 
 
+def indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of documents with their tokens, as a table: cut and tokenised once for all passes."""
+    u = chunks(spark, sf)
+    return scratch.stored(u.select("pos", "id", ranking.T.tokens(F.col("content")).alias("tokens")), "windows")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark's passages as questions, with vectors of the hash encoder."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")

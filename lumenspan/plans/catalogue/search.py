@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import alignment, evaluation, graph, ranking, segments, selection
+from ...operators import alignment, evaluation, evidence, graph, ranking, segments, selection
 from .. import retrieval
-from .base import CHUNKS, MATRIX, POOLS, TOKENS, chunks, matrix, pools, questions, table
+from .base import CHUNKS, MATRIX, POOLS, TOKENS, indexed, matrix, pools, questions, table
 
 
 def _vectors(spark, sf):
@@ -35,33 +35,29 @@ def pair_cosine_diag(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    best = ranking.Bm25(chunks(spark, sf)).top_k(questions(spark, sf), 10)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    best = ranking.Bm25(indexed(spark, sf)).top_k(asked, 10)
     return best.select("qid", "pos", F.round("score", 4).alias("score"))
 
 
 def rrf_hybrid(spark, sf):
     """Hybrid retrieval of every benchmark passage: exact vectors and BM25, fused, the best eight."""
-    units = chunks(spark, sf)
-    units = units.join(ranking.hash_bag(units), "pos")
+    words = indexed(spark, sf)
+    units = words.select("pos", "id").join(ranking.hash_bag(words), "pos")
     q = questions(spark, sf)
     s = retrieval.Settings()
     corpus = retrieval.Corpus.__new__(retrieval.Corpus)  # ids are distinct by construction: no pass to check them
-    corpus.units, corpus.links, corpus.bm25 = units, None, ranking.Bm25(units)
+    corpus.units, corpus.links, corpus.bm25 = units, None, ranking.Bm25(words)
     return corpus.hybrid(q, s, s.top_k).select("qid", "pos", "id", F.round("score", 6).alias("score"), F.col("nth").cast("long").alias("rank"))
 
 
 def recall_at_k(spark, sf):
     """Recall of BM25's eight best, with the documents that hold a passage word for word as gold."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    found = ranking.Bm25(chunks(spark, sf)).top_k(items.select(F.col("item_id").alias("qid"), "text"), 8)
+    found = ranking.Bm25(indexed(spark, sf)).top_k(items.select(F.col("item_id").alias("qid"), "text"), 8)
     hits = found.select("qid", F.floor(F.col("pos") / (1 << 20)).cast("string").alias("id")).distinct()
-    # a document that holds a passage holds its first words in a row: candidates by them, then the whole passage
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 4), " ")
-    heads = F.broadcast(items.agg(F.collect_set(head(F.col("text"))).alias("heads")))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))
-    grams = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).join(heads).select("doc_id", "text", F.explode(F.array_intersect(runs, "heads")).alias("head"))
-    asked = items.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), head(F.col("text")).alias("head"))
-    gold = grams.join(asked, "head").where(F.contains("text", F.col("passage"))).select("qid", F.col("doc_id").cast("string").alias("id")).distinct()
+    near = evidence.quoted_spans(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items.withColumnRenamed("text", "passage"), "item_id")
+    gold = near.where(F.contains("text", F.col("passage"))).select(F.col("item_id").alias("qid"), F.col("doc_id").cast("string").alias("id")).distinct()
     scored = evaluation.recall_precision(hits, gold)
     return scored.where(~F.isnan("recall")).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
