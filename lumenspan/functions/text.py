@@ -258,16 +258,28 @@ def clean_query(c: Column) -> Column:
 
 
 def json_object(c: Column) -> Column:
-    """The first JSON object of a reply, as text: fences go, and so does what follows the last brace."""
-    bare = F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The first whole JSON object of a reply, as text: fences go, and so does all after the brace that closes it. Null without one."""
+    rest = F.regexp_extract(F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), r"(?s)(\{.*)", 1)
+    no = F.lit(False)
+    start = F.struct(F.lit(0).alias("depth"), no.alias("quoted"), no.alias("escaped"), F.lit(0).alias("n"), no.alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        plain = ~s["quoted"]
+        depth = s["depth"] + F.when(plain & (x == "{"), 1).when(plain & (x == "}"), -1).otherwise(0)
+        quoted = F.when((x == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
+        escaped = s["quoted"] & ~s["escaped"] & (x == "\\")
+        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), (s["n"] + 1).alias("n"), (depth == 0).alias("done"))
+        return F.when(s["done"], s).otherwise(moved)
+
+    end = F.aggregate(F.split(rest, ""), start, step)
+    return F.when((rest != "") & end["done"], F.substring(rest, F.lit(1), end["n"]))
 
 
 CLAIMS = "struct<answer:string,claims:array<struct<text:string,units:array<string>>>>"
 
 
 def answer_claims(c: Column) -> Column:
-    """{answer, claims} of a structured reply, from its first to its last brace; null without an answer. Blank claims go."""
+    """{answer, claims} of a structured reply, its first JSON object; null without an answer. Blank claims go."""
     read = F.from_json(json_object(c), CLAIMS)
     kept = F.filter(F.coalesce(read["claims"], F.array().cast("array<struct<text:string,units:array<string>>>")), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
     return F.when(read["answer"].isNotNull(), F.struct(read["answer"].alias("answer"), kept.alias("claims")))
