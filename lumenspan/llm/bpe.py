@@ -139,6 +139,8 @@ def word_lists(rows: DataFrame, buckets: int) -> DataFrame:
             parts.append(pc.unique(texts.flatten()))
         if parts:
             yield lists(at, parts)
+            parts = []
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(over, "bucket int, block long, words binary")
 
@@ -215,6 +217,10 @@ def encoded_lists(lists: DataFrame, definition: Broadcast) -> DataFrame:
                     words_held = 0
         if held:
             yield flush()
+        # a worker that waits for its next task shall not hold what this one took
+        known.clear()
+        del encoder, pieces
+        pa.default_memory_pool().release_unused()
 
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, "block long, coded binary")
 
@@ -233,15 +239,20 @@ DIGESTS = (digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 TOKENS = (tokens, "ids array<int>, decoded string")
 
 
+def split(text: str, mark: str) -> pa.Array:
+    """The parts of a text as an array, without an object for each."""
+    return pc.split_pattern(pa.array([text], pa.string()), mark).flatten()
+
+
 class Block:
     """A block's distinct words by place, with their ids and pieces as text."""
 
     def __init__(self, blobs: Iterable[bytes], definition: Broadcast) -> None:
         unpack = zstandard.ZstdDecompressor()
-        lines = itertools.chain.from_iterable(unpack.decompress(b).decode().split("\n") for b in blobs)
-        found = list(zip(*(x.split("\t") for x in lines), strict=True)) or [(), (), ()]
+        parts = [split(unpack.decompress(b).decode(), "\n") for b in blobs]
+        fields = pc.split_pattern(pa.concat_arrays(parts) if parts else pa.array([], pa.string()), "\t")
         self.definition = definition
-        self.words, self.ids, self.pieces = (pa.array(c, pa.string()) for c in found)
+        self.words, self.ids, self.pieces = (pc.list_element(fields, k) if len(fields) else pa.array([], pa.string()) for k in range(3))
 
     def add(self, missing: list[str]) -> None:
         """Encodes words that the lists lack."""
@@ -254,7 +265,7 @@ class Block:
         """(key, ids, pieces) of each text of a pack: every position takes those of its word."""
         sizes = pack["size"].to_numpy()
         some = "\n".join(t for t, n in zip(pack["text"].to_pylist(), sizes.tolist(), strict=True) if n)
-        flat = pa.array(some.split("\n") if some else [], pa.string())
+        flat = split(some, "\n") if some else pa.array([], pa.string())
         place = pc.index_in(flat, value_set=self.words)
         if place.null_count:
             self.add(pc.unique(flat.filter(place.is_null())).to_pylist())
@@ -286,6 +297,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         for pressed in packs["texts"].to_pylist():
             pack = pa.ipc.open_stream(unpack.decompress(pressed)).read_all()
             out += [(name, *make(ids, pieces)) for name, ids, pieces in block.texts(pack)]
+        del block
+        pa.default_memory_pool().release_unused()
         columns = zip(*out, strict=True) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
