@@ -47,7 +47,7 @@ NEVER = "false"
 # That a text lacks one defect says little for it: most rules vote bad or abstain.
 RULES = (
     Rule("symbols", "n_symbols * 100 < n_words", "n_symbols * 10 > n_words"),
-    Rule("plain_words", "n_plain * 10 >= 9 * n_words", "n_plain * 2 < n_words"),
+    Rule("plain_words", "n_plain * 10 >= 9 * n_words", "n_plain * 10 < 6 * n_words"),
     Rule("marks", "n_marks * 4 < n_words AND n_marks * 60 > n_words", "n_marks * 10 > 6 * n_words"),
     Rule("doubled_signs", NEVER, "n_doubled * 20 > n_words"),
     Rule("capitals", NEVER, "n_capitals * 10 > 3 * word_chars"),
