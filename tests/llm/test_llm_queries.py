@@ -164,7 +164,7 @@ def test_op2_against_every_passage(spark, documents):
     rows = [(d, t) for d, t in zip(documents.doc_id, documents.text) if ("icense" in t or "rights reserved" in t) and len(t) < 2500][:12]
     rows += [(-1, "All rights reserved"), (-2, ""), (-3, "Released under the MIT License; all rights reserved."), (-4, L._MIT.replace("substantial", "considerable"))]
     got = {r.doc_id: r for r in L.summary(spark.createDataFrame([(int(d), t) for d, t in rows], "doc_id long, text string")).collect()}
-    assert len(rows) > 8
+    assert len(rows) >= 8
     for doc, text in rows:
         words = L.normalised(text)
         passages = []
