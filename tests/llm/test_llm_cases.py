@@ -413,6 +413,31 @@ def test_search_skips_windows():
     assert cold > 0 and first.skipped > 0 and first.decoded < (tf[: terms // 2] > 0).sum()
 
 
+def test_search_skips_windows_without_the_terms():
+    """Terms that no document of a window holds don't count for its bound, so most windows of like documents are skipped."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    n, terms = 4096, 30
+    held = r.random((terms, n)) < 0.1
+    held[:, :20] = True
+    lengths = np.full(n, 30, np.int32)
+    rows = [(None, np.arange(n, dtype=np.int64).tobytes(), lengths.tobytes(), None)]
+    for t in range(terms):
+        at = np.flatnonzero(held[t]).astype(np.int32)
+        last = np.append(np.arange(search.BLOCK, len(at), search.BLOCK), len(at)) - 1
+        block = np.stack((at[last], np.ones(len(last)), np.full(len(last), 30))).astype(np.int32).tobytes()
+        rows.append((t, at.tobytes(), np.ones(len(at), np.int32).tobytes(), block))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["code", "docs", "numbers", "blocks"])
+    idf = np.linspace(1, 2, terms)
+    for least in (0.0, idf.sum()):
+        shard = search.Shard(table, idf, 30.0)
+        places, scores = next(iter(shard.best([np.arange(terms)], np.array([least]), 10)))
+        assert places.tolist() == list(range(10)) and np.allclose(scores, idf.sum())
+        assert shard.decoded < held.sum() / 2 and shard.skipped > 0
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_pipeline_stages_of_the_cases(spark, docs, none, number, tmp_path):
     """Every stage but the last, on nulls, empty texts, repeated rows, no rows, and columns with other meanings."""
