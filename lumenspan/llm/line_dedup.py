@@ -12,12 +12,21 @@ counting.
 The texts are split into lines once, into a table of places and digests. A line that a
 third of all documents hold is one key with a third of all rows: where lines join the
 few that are spread, keys are salted, so that such a line is dealt over many tasks.
+
+Up to ``SENT`` digests of spread lines are sent to the texts, which stay where they are
+read: no text is shuffled or sorted. Beyond, places of lines are joined with the digests
+and the documents with their places.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -27,6 +36,10 @@ LOG_K = 12
 BAND = 0.25
 #: Parts that the rows of one line are dealt over.
 SALTS = 32
+#: Digests of spread lines, of 16 bytes each, that are sent to the texts.
+SENT = 200_000
+#: Texts that a worker cleans at once.
+ROWS = 500
 
 
 def line_key(line: Column) -> Column:
@@ -51,6 +64,38 @@ def spread_lines(rows: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
+def without_lines(docs: DataFrame, spread: set[bytes], spare_copies: bool) -> DataFrame:
+    """docs without the lines whose digests are given, text by text: what ``remove_spread_lines`` returns."""
+    sent = docs.sparkSession.sparkContext.broadcast(spread)
+    blank = b"\t\n\v\f\r "
+
+    def cleaned(text: bytes | None, known: set[bytes]) -> tuple[bytes | None, int, int]:
+        if text is None:
+            return None, 0, 0
+        # lines are those that Spark splits: it replaces what isn't UTF-8
+        lines = text.decode("utf-8", "replace").encode().split(b"\n")
+        trimmed = [line.strip(b" ") for line in lines]
+        hit = [bool(t) and hashlib.md5(t).digest() in known for t in trimmed]
+        n_lines, n_removed = sum(map(bool, trimmed)), sum(hit)
+        if n_removed:
+            kept = b"\n".join(line for line, h in zip(lines, hit, strict=True) if not h)
+            if kept.strip(blank) or not spare_copies:
+                return kept, n_lines, n_removed
+        return text, n_lines, 0
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # few rows at a time, so that a worker holds few texts twice
+            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                done = (cleaned(text, sent.value) for text in batch.column("text").cast(pa.binary()).to_pylist())
+                text, n_lines, n_removed = zip(*done, strict=True)
+                columns = [pa.array(text, pa.binary()).view(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "text", "n_lines", "n_removed"])
+
+    rows = docs.select(*(docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed")), docs["text"])
+    return rows.mapInArrow(over, T.StructType([*rows.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+
+
 def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", spare_copies: bool = False) -> DataFrame:
     """docs(text, ...) with boilerplate lines removed; adds n_lines and n_removed.
 
@@ -67,6 +112,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "sourc
     rows = rows.where(F.trim("line") != "").select("_id", "_hash", "site", "pos", line_key(F.col("line")).alias("key"))
     rows = materialise(rows, "lines")
     spread = materialise(spread_lines(rows.select("_id", "_hash", "pos", "key", "site"), min_sites), "spread")
+    if spread.count() <= SENT:
+        return without_lines(docs, {bytes(r.key) for r in spread.collect()}, spare_copies)
     hits = salted(rows.select("_id", "_hash", "pos", "key"), spread)
     hits = hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("pos")).alias("_hits"))
     # the row as one value: no column of docs can meet one of these steps

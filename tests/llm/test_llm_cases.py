@@ -161,6 +161,24 @@ def test_line_dedup_of_copies(spark):
         assert (got[10].text, got[10].n_removed) == (("copied all\nover", 0) if spared else ("", 2))
 
 
+def test_line_dedup_moves_no_texts(spark, docs, clashing, monkeypatch):
+    """Texts are neither shuffled nor sorted where few lines are spread, and both ways give the same."""
+    rows = [(i, ["  shared \nown\n\n", "shared\u3000\r\nshared", " \n\t\nshared", "", None, "\nshared"][i % 6] + f"\n {i % 4}" if i % 6 != 4 else None, f"s{i % 9}") for i in range(60)]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string, source string"), docs, clashing]
+    tables.append(spark.range(40).selectExpr("id doc_id", "cast(unhex('FF0A41200A4' || hex(id % 5)) as string) text", "'s' || id source"))
+    for table in tables:
+        for spared in (False, True):
+            monkeypatch.setattr(line_dedup, "SENT", 200_000)
+            found = line_dedup.remove_spread_lines(table, 2, spare_copies=spared)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort" not in plan
+            monkeypatch.setattr(line_dedup, "SENT", -1)
+            other = line_dedup.remove_spread_lines(table, 2, spare_copies=spared)
+            assert found.schema.simpleString() == other.schema.simpleString()
+            in_bytes = [F.col(c).cast("binary").alias(c) if c == "text" else F.col(c) for c in found.columns]
+            assert sorted(map(str, found.select(in_bytes).collect())) == sorted(map(str, other.select(in_bytes).collect()))
+
+
 def test_line_dedup_counts_near_lines_exactly(spark):
     """Hundreds of lines one site on either side of the threshold."""
     rows = [(k * 100 + s, f"line {k}\nown {k} {s}", f"site{s}") for k in range(40) for s in range(29 + k % 3)]
