@@ -456,6 +456,49 @@ def test_search_skips_windows_without_the_terms():
         assert shard.decoded < held.sum() / 2 and shard.skipped > 0
 
 
+def test_search_takes_like_queries_together(monkeypatch):
+    """Queries of two languages in turn ask for the tiles of one language at a time, and scores in pieces and by document are those of all documents."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    n, terms = 2048, 400
+    # the first 40 terms of each half are common, the others in lists of up to 30 documents, and one language has the first half of both
+    tf = np.where(r.random((terms, n)) < np.where(np.arange(terms) % 200 < 40, 0.4, r.random(terms) * 0.03)[:, None], r.integers(1, 5, (terms, n)), 0)
+    tf[:200, n // 2 :] = 0
+    tf[200:, : n // 2] = 0
+    tf[:, 5] = tf[:, 9]
+    lengths = r.integers(20, 40, n).astype(np.int32)
+    lengths[5] = lengths[9]
+    rows = [(None, np.arange(n, dtype=np.int64).tobytes(), lengths.tobytes(), None)]
+    for t in range(terms):
+        at = np.flatnonzero(tf[t]).astype(np.int32)
+        number, block = tf[t][at].astype(np.int32), None
+        if t % 200 < 40:
+            cuts = np.arange(0, len(at), search.BLOCK)
+            last = np.append(cuts[1:], len(at)) - 1
+            block = np.stack((at[last], np.maximum.reduceat(number, cuts), np.minimum.reduceat(lengths[at], cuts))).astype(np.int32).tobytes()
+        rows.append((t, at.tobytes(), number.tobytes(), block))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["code", "docs", "numbers", "blocks"])
+    idf = r.random(terms) + 0.5
+    asked = [np.sort(r.choice(200, 40 + q % 9, replace=False)) + 200 * (q % 2) for q in range(64)] + [np.empty(0, np.int64)]
+    norms = search.K1 * (1 - search.B + search.B * lengths / 30.0)
+    whole = tf * idf[:, None] * (search.K1 + 1) / (tf + norms)
+    # eight queries and a few documents at once
+    monkeypatch.setattr(search, "AT_ONCE", 2048)
+    shard, calls = search.Shard(table, idf, 30.0), []
+    tile = shard.tile
+    monkeypatch.setattr(shard, "tile", lambda t: (calls.append(t), tile(t))[1])
+    sums = [np.round(whole[q].sum(axis=0), 6) for q in asked]
+    # half of the queries begin without a threshold
+    least = np.array([np.sort(x)[-7] * (i % 4 > 1) for i, x in enumerate(sums)])
+    for x, (places, scores) in zip(sums, shard.best(asked, least, 7), strict=True):
+        expected = [p for p in np.lexsort((np.arange(n), -x))[:7] if x[p] > 0]
+        assert places.tolist() == expected and np.allclose(scores, x[expected], atol=2e-6)
+    # eight blocks of one language have half of the 16 tiles each, in two rounds and the last pass at most
+    assert len(calls) <= 3 * 8 * 8 + 16
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_pipeline_stages_of_the_cases(spark, docs, none, number, tmp_path):
     """Every stage but the last, on nulls, empty texts, repeated rows, no rows, and columns with other meanings."""
