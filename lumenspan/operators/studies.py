@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from . import alignment, evaluation, ranking
+from . import alignment, evaluation, ranking, tiles
 
 
 def swept(grid: DataFrame, cells: DataFrame, on: list[str], value: Column) -> DataFrame:
@@ -148,6 +149,51 @@ def greedy_pairs(pairs: DataFrame, by: str, least: float, most: int) -> DataFram
     return chosen.groupBy(by).applyInPandas(over, chosen.schema)
 
 
+def walkable(a: np.ndarray, b: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pairs that a walk over them, and any others, can choose, in its order.
+
+    Before a pair is chosen at most ``most`` - 1 others are. A better pair of its own a was
+    passed over for its b, so that the pair is among the first ``most`` of its a, and so of its b; and
+    each pair chosen before takes at most ``most`` of either kind out of the order.
+    """
+    at = np.arange(len(score))
+    for one, other in ((a, b), (b, a)):
+        at = at[np.lexsort((other[at], -score[at], one[at]))]
+        heads = np.flatnonzero(np.r_[True, one[at][1:] != one[at][:-1]])
+        at = at[np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)])) < most] if len(at) else at
+    return at[np.lexsort((b[at], a[at], -score[at]))][: 2 * most * (most - 1) + 1]
+
+
+def closest_pairs(left: DataFrame, right: DataFrame, by: str, least: float, most: int) -> DataFrame:
+    """greedy_pairs of all pairs of left(by, a, x) and right(by, b, y), scored by their inner product with six decimals.
+
+    Every pair is scored, tile by tile; of a tile only the few pairs that the walk can reach are passed on.
+    """
+
+    def over(one: pa.Table, two: pa.Table) -> pa.Table:
+        one, two = one.sort_by("a"), two.sort_by("b")
+        a, b = (t.column(c).to_numpy() for t, c in ((one, "a"), (two, "b")))
+        x, y = tiles.vectors(one.column("x")), tiles.vectors(two.column("y"))
+        kept = a[:0], b[:0], np.empty(0)
+        full, step, start, width = 2 * most * (most - 1) + 1, max(1, tiles.CELLS // len(b)), 0, 16
+        while start < len(a):
+            rows = slice(start, start + min(step, width))
+            scores = np.round(x[rows] @ y.T, ranking.DECIMALS)
+            # once as many are kept as can matter, others must reach the last of them
+            bar = kept[2][-1] if len(kept[2]) == full else least
+            i, j = np.nonzero(scores >= max(bar, least))
+            found = tuple(np.concatenate(p) for p in zip(kept, (a[rows][i], b[j], scores[i, j]), strict=True))
+            at = walkable(*found, most)
+            kept = tuple(p[at] for p in found)
+            start, width = rows.stop, width * 2
+        return pa.table({by: pa.array([one.column(by)[0].as_py()] * len(kept[0]), one.schema.field(by).type), "a": kept[0], "b": kept[1], "score": kept[2]})
+
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    some = lambda d, key, v: d.select(by, key, v).where(F.col(v).isNotNull() & F.col(key).isNotNull())
+    reached = tiles.tiled(some(left, "a", "x"), some(right, "b", "y"), [by], over, f"{by} {kinds[by]}, a {kinds['a']}, b {kinds['b']}, score double")
+    return greedy_pairs(reached, by, least, most)
+
+
 def timed_context(chunks: DataFrame, questions: DataFrame, scored: DataFrame, k: int = 10, least: float = 0.6, around: float = 3.0, gap: float = 2.0, pool: int = 5, keep: int = 4, rescore=None) -> DataFrame:
     """(qid, nth, ids, start_s, end_s, score): retrieval that keeps to a question's time.
 
