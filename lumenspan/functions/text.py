@@ -188,22 +188,11 @@ def split_sentences(c: Column, bullets: bool = False, min_words: int = 5) -> Col
     return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.size(words(s)) >= min_words)
 
 
-def join_abbreviations(parts: Column) -> Column:
-    """Parts of which each but the last one ends in an abbreviation become one."""
-    ends = lambda s: F.lower(F.element_at(F.split(s, SPACES), -1)).isin(ABBREVIATIONS)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open"))
-
-    def step(state: Column, part: Column) -> Column:
-        joined = F.when(state["open"].isNull(), part).otherwise(F.concat_ws(" ", state["open"], part))
-        wait = ends(joined)
-        return F.struct(F.when(wait, state["out"]).otherwise(F.concat(state["out"], F.array(joined))).alias("out"), F.when(wait, joined).alias("open"))
-
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
-
-
 def premises(c: Column, max_chars: int = 1200) -> Column:
     """Sentences as premises: abbreviations joined again, long ones cut into pieces of max_chars."""
-    whole = F.filter(join_abbreviations(F.split(collapsed(c), r"(?<=[.!?])\s+")), lambda s: s != "")
+    # cut by one pattern that looks back for an abbreviation: to join parts one by one would copy all those before
+    abbreviation = "|".join(re.escape(a) for a in ABBREVIATIONS)
+    whole = F.filter(F.split(collapsed(c), rf"(?<=[.!?])(?<!(?:^|\s)(?i:{abbreviation}))\s+"), lambda s: s != "")
     starts = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(max_chars))
     return F.flatten(F.transform(whole, lambda s: F.transform(starts(s), lambda i: F.substring(s, i, F.lit(max_chars)))))
 

@@ -6,11 +6,16 @@ makes one of a Python function over Arrow batches, and the offline ones here are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import stats as S
 from ..functions import text as T
@@ -51,16 +56,59 @@ def quoted_answers(evidence: DataFrame, questions: DataFrame, most: int = 3, cha
 def quoted_from_all(units: DataFrame, questions: DataFrame, most: int = 3, chars: int = 220) -> DataFrame:
     """quoted_answers of every question from all units(rank, id, content), with distinct ids.
 
-    Sentences meet only the questions that they share terms with, by a join on terms.
+    The questions are a stated set that every task gets; a task counts the terms that its
+    sentences share with each, and passes on ``most`` sentences of a question.
     """
-    terms = lambda text: F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("_t")
-    sentences = units.select("rank", "id", F.posexplode(T.premises(F.col("content"))).alias("_n", "sentence"))
-    met = sentences.select("rank", "id", "_n", terms("sentence")).join(questions.select("qid", terms("question")), "_t")
-    scored = met.groupBy("qid", "rank", "id", "_n").agg(F.count("*").alias("_s"))
-    best = scored.groupBy("qid", "rank", "id").agg(F.min(F.struct((-F.col("_s")).alias("_s"), "_n")).alias("_b"))
-    order = F.row_number().over(Window.partitionBy("qid").orderBy("_b._s", "rank", "id"))
-    chosen = best.withColumn("nth", order).where(F.col("nth") <= most).select("qid", "nth", "id", F.col("_b._n").alias("_n"))
-    return chosen.join(sentences.select("id", "_n", "sentence"), ["id", "_n"]).select("qid", "nth", F.substring("sentence", 1, chars).alias("text"), "id")
+    asked = questions.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("tokens")).collect()
+    ids, terms = list(dict.fromkeys(r.qid for r in asked)), sorted({t for r in asked for t in r.tokens or ()})
+    column, row = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+    met = sorted((row[t], column[r.qid]) for r in asked for t in r.tokens or ())
+    first, askers = np.searchsorted([t for t, _ in met], np.arange(len(terms) + 1)), np.array([q for _, q in met], np.int64)
+    vocabulary = pa.array(terms, pa.string())
+    kinds = dict(units.dtypes) | dict(questions.dtypes)
+    schema = f"qid {kinds['qid']}, shared long, rank {kinds['rank']}, id {kinds['id']}, sentence string"
+    place = lambda x: (x is not None, x)  # noqa: E731  null goes first, as in SQL's order
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, bar = [[] for _ in ids], np.ones(len(ids), np.int64)
+        for part in (p for batch in batches for p in _parts(batch, "sentences", 4096)):
+            ranks, names, texts = part.column("rank"), part.column("id"), part.column("sentences").flatten()
+            lists = part.column("terms").flatten()
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            owner, term = np.repeat(np.arange(len(lengths)), lengths)[known], at.drop_null().to_numpy()
+            # every known term of a sentence, with each question that has it
+            times = first[term + 1] - first[term]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            cells = np.repeat(owner, times) * len(ids) + askers[np.repeat(first[term], times) + nth]
+            shared = np.bincount(cells, minlength=len(lengths) * len(ids)).reshape(len(lengths), len(ids))
+            heads = np.r_[0, np.cumsum(pc.list_value_length(part.column("sentences")).to_numpy(zero_copy_only=False))]
+            most_of = np.maximum.reduceat(shared, heads[:-1], axis=0)
+            for u, q in zip(*np.nonzero(most_of >= bar), strict=True):
+                n = heads[u] + int(shared[heads[u] : heads[u + 1], q].argmax())
+                best[q].append((-int(shared[n, q]), place(ranks[u].as_py()), place(names[u].as_py()), texts[n].as_py()))
+                if len(best[q]) > 8 * most:
+                    best[q] = sorted(best[q])[:most]
+                    bar[q] = -best[q][-1][0]
+        rows = [(ids[q], -s, r[1], i[1], text) for q, found in enumerate(best) for s, r, i, text in sorted(found)[:most]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    cut = units.select("rank", "id", T.premises(F.col("content")).alias("sentences")).where(F.size("sentences") > 0)
+    found = cut.select("rank", "id", "sentences", F.transform("sentences", lambda s: F.array_distinct(T.tokens(s))).alias("terms")).mapInArrow(over, schema)
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("shared"), "rank", "id"))
+    return found.withColumn("nth", order).where(F.col("nth") <= most).select("qid", "nth", F.substring("sentence", 1, chars).alias("text"), "id")
+
+
+def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists have about so many items in all, or a row alone."""
+    total, start = np.cumsum(pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def quotable(claim: Column, text: Column) -> Column:

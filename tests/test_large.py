@@ -1,12 +1,14 @@
 """Operators that were mended for large tables: the same results as by trying everything, with little that is passed on."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lumenspan.functions import stats as S
-from lumenspan.operators import studies, tiles
+from lumenspan.functions import text as T
+from lumenspan.operators import evidence, studies, tiles
 
 
 def vectors(n, seed, ties=4):
@@ -33,3 +35,30 @@ def test_walkable_is_few():
     a, b = (np.array([r.randrange(40) for _ in range(3000)]) for _ in range(2))
     score = np.array([r.randrange(5) / 5 for _ in range(3000)])
     assert len(studies.walkable(a, b, score, 4)) == 2 * 4 * 3 + 1
+
+
+def test_premises_join_abbreviations(spark):
+    """Sentences as by joining parts one by one, whatever abbreviations follow each other."""
+    r = random.Random(5)
+    words = ["One", "e.g.", "E.G.", "xe.g.", "No.", "no.", "end.", "Why?", "Dr.", "al.", "(cf.", "cf.", "fig.\t", "...", "!", "a"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 25))) for _ in range(200)] + ["", " ", "no.", "e.g. no. x"]
+    for text, got in ((x.t, x.p) for x in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.premises(F.col("t")).alias("p")).collect()):
+        out, waiting = [], None
+        for part in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text).strip(" ")):
+            part = part if waiting is None else f"{waiting} {part}"
+            waiting = part if part.split(" ")[-1].lower() in T.ABBREVIATIONS else None
+            out += [part] if waiting is None else []
+        assert got == [s for s in [*out, waiting] if s], text
+
+
+def test_quoted_from_all_meets_few_sentences(spark, monkeypatch):
+    """Sentences of all units, in small parts, as by every question with every unit; no join on terms is left."""
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice("abcdefgh") + r.choice([".", "", ""]) for _ in range(n))
+    units = spark.createDataFrame([(i // 2, f"u{i}", text(r.randrange(60))) for i in range(80)] + [(0, "none", None)], "rank long, id string, content string")
+    questions = spark.createDataFrame([(q, text(4)) for q in range(12)] + [(99, None), (98, "zzz")], "qid long, question string")
+    cut = evidence._parts
+    monkeypatch.setattr(evidence, "_parts", lambda batch, column, most: cut(batch, column, 3))
+    got = evidence.quoted_from_all(units, questions)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evidence.quoted_answers(units.crossJoin(questions.select("qid")), questions).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
