@@ -21,24 +21,31 @@ ROWS = 8192
 CELLS = 1 << 23
 
 
-def blocks(rows: DataFrame, by: list[str], size: int) -> int:
-    """Blocks that the largest group takes."""
-    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-most // size))
+def most(rows: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def tiled(left: DataFrame, right: DataFrame, by: list[str], over: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = ROWS) -> DataFrame:
-    """What over(rows of left, rows of right) gives for every tile of groups that both sides have; by: the columns that both must share."""
-    left, right = (d.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for d in (left, right))
-    counts = blocks(left, by, size), blocks(right, by, size)
-    own = lambda d, n: (F.pmod(F.xxhash64(*(F.col(c) for c in d.columns)), F.lit(n))).cast("int")
+def tiled(left: DataFrame, right: DataFrame, by: list[str], over: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = ROWS, together: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """What over(rows of left, rows of right) gives for every tile of groups that both sides have.
+
+    by: the columns that both must share, if any. together: for each side columns of
+    which equal values go to as few blocks as their number of rows allows.
+    """
+    left, right = ((d.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for d in (left, right)) if by else (left, right))
+    counts = [max(1, -(-most(d, by) // size)) for d in (left, right)]
+
+    def own(d: DataFrame, n: int, keys: list[str]):
+        row = F.xxhash64(*(F.col(c) for c in d.columns))
+        return F.pmod(F.xxhash64(*keys) % (1 << 30) + F.pmod(row, F.lit(max(1, -(-most(d, [*by, *keys]) // size)))), F.lit(n)).cast("int") if keys else F.pmod(row, F.lit(n)).cast("int")
+
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     key = [*by, "_i", "_j"]
-    groups = left.select(*by).distinct().count()
+    groups = left.select(*by).distinct().count() if by else 1
     # a stated number of partitions: few bytes are much work here, so that they must not be put together
     parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups * counts[0] * counts[1], 4096))
-    x = left.withColumn("_i", own(left, counts[0])).withColumn("_j", every(counts[1])).repartition(parts, *key)
-    y = right.withColumn("_j", own(right, counts[1])).withColumn("_i", every(counts[0])).repartition(parts, *key)
+    x = left.withColumn("_i", own(left, counts[0], together[0])).withColumn("_j", every(counts[1])).repartition(parts, *key)
+    y = right.withColumn("_j", own(right, counts[1], together[1])).withColumn("_i", every(counts[0])).repartition(parts, *key)
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         # one side alone has no pairs

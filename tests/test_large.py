@@ -21,7 +21,7 @@ def vectors(n, seed, ties=4):
 def test_closest_pairs_in_tiles(spark, monkeypatch):
     """The walk over all pairs and the one over what tiles pass on choose the same, with equal scores and blocks of a few rows."""
     monkeypatch.setattr(tiles, "CELLS", 64)
-    monkeypatch.setattr(tiles.tiled, "__defaults__", (7,))
+    monkeypatch.setattr(tiles.tiled, "__defaults__", (7, ([], [])))
     a = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(vectors(60, 1))], "g int, a long, x array<double>")
     b = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(vectors(50, 2))], "g int, b long, y array<double>")
     for most in (1, 3, 8):
@@ -62,3 +62,27 @@ def test_quoted_from_all_meets_few_sentences(spark, monkeypatch):
     got = evidence.quoted_from_all(units, questions)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evidence.quoted_answers(units.crossJoin(questions.select("qid")), questions).collect()))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_document_gate_in_tiles(spark, monkeypatch):
+    """Gates from tiles are those from all pairs, with a vector of no length too."""
+    from lumenspan.operators import links
+
+    monkeypatch.setattr(tiles, "CELLS", 64)
+    rows = [(f"d{i % 3}", f"f{i}", v) for i, v in enumerate([*vectors(40, 3), [0.0] * 6])]
+    figures = spark.createDataFrame(rows, "source_file string, id string, embedding array<double>")
+    texts = spark.createDataFrame([(f"d{i % 4}", f"t{i}", v) for i, v in enumerate(vectors(30, 4))], "source_file string, id string, embedding array<double>")
+    nulls = spark.createDataFrame([(f"d{i % 4}", k, v) for k in range(2) for i, v in enumerate(vectors(30, 5 + k))], "source_file string, shuffle int, embedding array<double>")
+    cosine = lambda a, b: np.dot(a, b) / max(np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b)), 1e-9)
+    own = {(r.source_file, -1): [] for r in texts.collect()} | {(r.source_file, r.shuffle): [] for r in nulls.collect()}
+    for r in texts.collect():
+        own[r.source_file, -1].append(r.embedding)
+    for r in nulls.collect():
+        own[r.source_file, r.shuffle].append(r.embedding)
+    for size in (7, 1 << 15):
+        monkeypatch.setattr(links, "GATE_ROWS", size)
+        got = {(r.src_file, r.dst_file): r.z for r in links.document_gate(figures, texts, nulls, 1.0).collect()}
+        assert set(got) == {(f"d{a}", f"d{b}") for a in range(3) for b in range(4) if a != b}
+        for (a, b), z in got.items():
+            mean = {k: np.mean([max(cosine(x, y) for y in own[b, k]) for d, _, x in rows if d == a]) for k in (-1, 0, 1)}
+            assert abs(z - (mean[-1] - (mean[0] + mean[1]) / 2) / np.std([mean[0], mean[1]])) < 1e-6
