@@ -202,20 +202,59 @@ def quietest(levels: DataFrame, targets: DataFrame, by: str, search: float = 30.
     return joined.select(by, "target", F.coalesce("m.at", "target").alias("offset"))
 
 
+class _Room:
+    """The room of one prompt's batches as a tree of maxima: the first with room is found on the way down."""
+
+    def __init__(self, most: int, leaves: int = 64) -> None:
+        self.most, self.leaves, self.numbers, self.held = most, leaves, [], []
+        self.tree = [most] * (2 * leaves)
+
+    def grow(self) -> None:
+        own, self.leaves = self.tree[self.leaves :], self.leaves * 2
+        self.tree = [self.most] * self.leaves + own + [self.most] * len(own)
+        for i in range(self.leaves - 1, 0, -1):
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def put(self, n: int, items: int, number: int) -> int:
+        """The batch that n goes to; number is that of a new one."""
+        if len(self.numbers) == self.leaves:
+            self.grow()
+        tree, i = self.tree, 1
+        if n <= self.most:
+            while i < self.leaves:
+                i *= 2
+                i += tree[i] < n
+        else:
+            i = self.leaves + len(self.numbers)
+        place = i - self.leaves
+        if place == len(self.numbers):
+            self.numbers.append(number)
+            self.held.append(0)
+        self.held[place] += 1
+        # what is over the limit, or not a number, or of as many items as go in, is closed
+        tree[i] = tree[i] - n if n <= self.most and self.held[place] < items else -1
+        while i > 1:
+            i //= 2
+            tree[i] = max(tree[2 * i], tree[2 * i + 1])
+        return self.numbers[place]
+
+
+def fitted(sizes: list, prompts: list, most: int, items: int) -> np.ndarray:
+    """The batch of each of the sizes in turn, by first fit, in a time of n log n."""
+    rooms, out, new = {}, np.empty(len(sizes), np.int64), 0
+    for k, (n, p) in enumerate(zip(sizes, prompts, strict=True)):
+        room = rooms.get(p)
+        if room is None:
+            room = rooms[p] = _Room(most)
+        out[k] = room.put(n, items, new)
+        new += out[k] == new
+    return out
+
+
 def first_fit(rows: DataFrame, by: str, order: str, size: str, most: int, items: int, prompt: str | None = None) -> DataFrame:
     """rows with batch: each goes to the first batch of its group with room, at most items of most size, one prompt each if asked."""
 
     def assign(group: pd.DataFrame) -> np.ndarray:
-        open_, out = [], np.empty(len(group), np.int64)
-        prompts = group[prompt] if prompt else [None] * len(group)
-        for i, (n, p) in enumerate(zip(group[size], prompts, strict=True)):
-            for b, held in enumerate(open_):
-                if held[0] + n <= most and held[1] < items and held[2] == p:
-                    break
-            else:
-                b, held = len(open_), [0, 0, p]
-                open_.append(held)
-            held[0], held[1], out[i] = held[0] + n, held[1] + 1, b
-        return out
+        return fitted(group[size].tolist(), group[prompt].tolist() if prompt else [None] * len(group), most, items)
 
     return _walk(rows, by, order, assign, "batch")

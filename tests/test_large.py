@@ -86,3 +86,24 @@ def test_document_gate_in_tiles(spark, monkeypatch):
         for (a, b), z in got.items():
             mean = {k: np.mean([max(cosine(x, y) for y in own[b, k]) for d, _, x in rows if d == a]) for k in (-1, 0, 1)}
             assert abs(z - (mean[-1] - (mean[0] + mean[1]) / 2) / np.std([mean[0], mean[1]])) < 1e-6
+
+
+def test_first_fit_goes_through_few_batches():
+    """Batches as by looking through all open ones; the time of many prompts grows with their number, not its square."""
+    import time
+
+    from lumenspan.operators import segments
+
+    r = random.Random(11)
+    for most, items, prompts in ((100, 3, None), (50, 2, "ab"), (10, 1, "a"), (7, 4, "abc")):
+        sizes, told = [r.choice([0, 1, 5, 9, 30, 60, 120]) for _ in range(700)], [r.choice(prompts) if prompts else None for _ in range(700)]
+        batches, expected = [], []
+        for n, p in zip(sizes, told, strict=True):
+            b = next((i for i, (held, q) in enumerate(batches) if q == p and sum(held) + n <= most and len(held) < items), len(batches))
+            batches[b:b] = [([], p)] if b == len(batches) else []
+            batches[b][0].append(n)
+            expected.append(b)
+        assert segments.fitted(sizes, told, most, items).tolist() == expected
+    began = time.perf_counter()
+    segments.fitted([11_000] * 200_000, [None] * 200_000, 20_000, 10)
+    assert time.perf_counter() - began < 30
