@@ -47,22 +47,41 @@ def greatest_overlap(left: DataFrame, right: DataFrame, by: list[str], width: fl
     return pairs.groupBy(*by, "a").agg(F.max(order).alias("m")).select(*by, "a", (F.col("m")["b"] if later else -F.col("m")["col2"]).alias("b"), F.col("m.shared").alias("shared"))
 
 
-def gold_pairs(units: DataFrame, places: DataFrame) -> DataFrame:
+def gold_pairs(units: DataFrame, places: DataFrame, width: float = 30.0) -> DataFrame:
     """(qid, place, id): units(id, source_file, location) at gold places(qid, place: struct<source, page, start_s, end_s>).
 
-    Joined on the file; page or times are checked on those pairs.
+    Joined on the file and the page, or, where a place has no page, on the file and bins of time.
     """
-    u = units.select("id", "source_file", "location", file_name(F.col("source_file")).alias("_file"))
-    g = places.withColumn("_file", file_name(F.col("place.source")))
-    return u.join(g, "_file").where(P.matches_locator(F.col("source_file"), F.col("location"), F.col("place"))).select("qid", "place", "id")
+    at, wanted = F.col("location"), F.col("place")
+    u = units.select("id", "location", file_name(F.col("source_file")).alias("_file"))
+    g = places.select("qid", "place", file_name(wanted["source"]).alias("_file"))
+    paged = u.withColumn("_page", at["page"]).join(g.where(wanted["page"].isNotNull()).withColumn("_page", wanted["page"]), ["_file", "_page"])
+    spans = u.select("_file", F.col("id").alias("a"), at["start_s"].alias("a0"), at["end_s"].alias("a1"))
+    asked = g.where(wanted["page"].isNull()).select("_file", F.struct("qid", "place").alias("b"), wanted["start_s"].alias("b0"), wanted["end_s"].alias("b1"))
+    timed = overlap_join(spans, asked, ["_file"], width)
+    return paged.select("qid", "place", "id").unionByName(timed.select("b.qid", "b.place", F.col("a").alias("id")))
 
 
 def gold_hits(retrieved: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, missed) gold places of each question, by its retrieved units(qid, source_file, location)."""
-    r = retrieved.select(F.col("qid").alias("_qid"), "source_file", "location", file_name(F.col("source_file")).alias("_file"))
-    g = places.withColumn("_gfile", file_name(F.col("place.source")))
-    test = (F.col("_qid") == F.col("qid")) & (F.col("_file") == F.col("_gfile")) & P.matches_locator(F.col("source_file"), F.col("location"), F.col("place"))
-    return g.join(r, test, "left_semi").drop("_gfile"), g.join(r, test, "left_anti").drop("_gfile")
+    """(found, missed) gold places of each question, by its retrieved units(qid, source_file, location).
+
+    Pages are met by an equal join with the distinct ones. A place in time is met if, of
+    the question's units in its file that begin before its end, one ends after its
+    begin: the greatest end so far in the order of times tells, and no pairs are made.
+    """
+    at, wanted = F.col("location"), F.col("place")
+    r = retrieved.select(F.col("qid").alias("_qid"), file_name(F.col("source_file")).alias("_rfile"), at["page"].alias("_page"), at["start_s"].alias("_t"), at["end_s"].alias("_end")).where("_qid IS NOT NULL AND _rfile IS NOT NULL")
+    g = places.withColumn("_gfile", file_name(wanted["source"]))
+    pages = r.select("_qid", "_rfile", "_page").distinct().withColumn("_hit", F.lit(True))
+    same = (F.col("_qid") == F.col("qid")) & (F.col("_rfile") == F.col("_gfile")) & (F.col("_page") == wanted["page"])
+    paged = g.where(wanted["page"].isNotNull()).join(pages, same, "left").select(*places.columns, F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    asked = g.where(wanted["page"].isNull()).select(F.col("qid").alias("_qid"), F.col("_gfile").alias("_rfile"), wanted["end_s"].alias("_t"), F.struct(*places.columns).alias("_row"))
+    met = asked.withColumn("_kind", F.lit(0)).unionByName(r.where("_t IS NOT NULL AND _end IS NOT NULL").drop("_page").withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy("_qid", "_rfile").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = met.withColumn("_last", F.max("_end").over(before)).where("_kind = 0").select("_row.*", F.col("_t").isNotNull().alias("_timed"), "_last")
+    timed = ends.select(*places.columns, F.coalesce(F.col("_timed") & (F.col("_last") > wanted["start_s"]), F.lit(False)).alias("_hit"))
+    told = paged.unionByName(timed)
+    return told.where("_hit").drop("_hit"), told.where("NOT _hit").drop("_hit")
 
 
 def coverage(found: DataFrame, missed: DataFrame) -> DataFrame:

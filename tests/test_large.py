@@ -107,3 +107,29 @@ def test_first_fit_goes_through_few_batches():
     began = time.perf_counter()
     segments.fitted([11_000] * 200_000, [None] * 200_000, 20_000, 10)
     assert time.perf_counter() - began < 30
+
+
+def _place(source=None, page=None, start=None, end=None):
+    return (source, page, start, end)
+
+
+def test_gold_places_by_equal_keys(spark):
+    """Units at gold places as by every pair, without a nested or file-wide comparison; null keys and ends meet nothing."""
+    from lumenspan.functions import places as P
+    from lumenspan.operators import intervals
+
+    r = random.Random(13)
+    some = lambda x: x if r.random() < 0.9 else None
+    location = lambda: (None, None, None, None) if r.random() < 0.05 else ((some(r.randrange(4)), None, None, None) if r.random() < 0.6 else (None, None, some(float(r.randrange(200))), some(float(r.randrange(200)))))
+    kind = "struct<page:int,bbox:array<double>,start_s:double,end_s:double>"
+    units = spark.createDataFrame([(some(r.randrange(3)), f"u{i}", r.choice(["in/a.pdf", "b.mp3"]), location()) for i in range(150)], f"qid int, id string, source_file string, location {kind}")
+    gold = spark.createDataFrame([(some(r.randrange(4)), i, (r.choice(["a.pdf", "x/b.mp3", "c"]), *(p := location())[:1], *p[2:])) for i in range(120)], "qid int, n int, place struct<source:string,page:int,start_s:double,end_s:double>")
+    match = P.matches_locator(F.col("u.source_file"), F.col("u.location"), F.col("g.place"))
+    both = units.alias("u").crossJoin(gold.alias("g")).where(match)
+    want = sorted(map(tuple, both.select("g.n", "u.id").collect()))
+    pairs = intervals.gold_pairs(units, gold.withColumn("qid", F.col("n")))
+    assert sorted(map(tuple, pairs.select("qid", "id").collect())) == want and len(want) > 100
+    hit = {x.n for x in both.where("u.qid = g.qid").select("g.n").collect()}
+    found, missed = intervals.gold_hits(units, gold)
+    assert found.columns == missed.columns == gold.columns
+    assert {x.n for x in found.collect()} == hit and sorted(x.n for x in missed.collect()) == sorted(set(range(120)) - hit)
