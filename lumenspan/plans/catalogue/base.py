@@ -87,7 +87,7 @@ def in_turn(spark: SparkSession, sf: str) -> DataFrame:
     number = F.row_number().over(Window.orderBy("item_id")) - 1
     placed = items.select("item_id", F.col("text").alias("passage"), number.alias("_n"))
     docs = table(spark, sf, "documents").crossJoin(F.broadcast(items.agg(F.count("*").alias("_of"))))
-    return docs.withColumn("_n", F.col("doc_id") % F.col("_of")).join(placed, "_n").select("doc_id", "text", "lang", "item_id", "passage")
+    return docs.withColumn("_n", F.col("doc_id") % F.col("_of")).join(F.broadcast(placed), "_n").select("doc_id", "text", "lang", "item_id", "passage")
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
