@@ -246,22 +246,27 @@ def clean_query(c: Column) -> Column:
     return F.array_join(F.slice(words(bare), 1, 20), " ")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Strings as wholes, one that isn't closed with all after it, braces, and runs of anything else. Possessive: no backtracking, and no depth of calls in long strings.
+JSON_PIECES = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|".*|[{}]|[^"{}]++"""
+
+
 def json_object(c: Column) -> Column:
     """The first whole JSON object of a reply, as text: fences go, and so does all after the brace that closes it. Null without one."""
     rest = F.regexp_extract(F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), r"(?s)(\{.*)", 1)
-    no = F.lit(False)
-    start = F.struct(F.lit(0).alias("depth"), no.alias("quoted"), no.alias("escaped"), F.lit(0).alias("n"), no.alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        plain = ~s["quoted"]
-        depth = s["depth"] + F.when(plain & (x == "{"), 1).when(plain & (x == "}"), -1).otherwise(0)
-        quoted = F.when((x == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
-        escaped = s["quoted"] & ~s["escaped"] & (x == "\\")
-        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), (s["n"] + 1).alias("n"), (depth == 0).alias("done"))
+        depth = s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        moved = once(depth, lambda d: F.struct(d.alias("depth"), (s["n"] + F.length(x)).alias("n"), (d == 0).alias("done")))
         return F.when(s["done"], s).otherwise(moved)
 
-    end = F.aggregate(F.split(rest, ""), start, step)
-    return F.when((rest != "") & end["done"], F.substring(rest, F.lit(1), end["n"]))
+    end = lambda r: F.aggregate(F.regexp_extract_all(r, F.lit(JSON_PIECES), F.lit(0)), start, step)
+    return once(rest, lambda r: once(end(r), lambda e: F.when((r != "") & e["done"], F.substring(r, F.lit(1), e["n"]))))
 
 
 CLAIMS = "struct<answer:string,claims:array<struct<text:string,units:array<string>>>>"
@@ -269,9 +274,9 @@ CLAIMS = "struct<answer:string,claims:array<struct<text:string,units:array<strin
 
 def answer_claims(c: Column) -> Column:
     """{answer, claims} of a structured reply, its first JSON object; null without an answer. Blank claims go."""
-    read = F.from_json(json_object(c), CLAIMS)
-    kept = F.filter(F.coalesce(read["claims"], F.array().cast("array<struct<text:string,units:array<string>>>")), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
-    return F.when(read["answer"].isNotNull(), F.struct(read["answer"].alias("answer"), kept.alias("claims")))
+    none = F.array().cast("array<struct<text:string,units:array<string>>>")
+    kept = lambda read: F.filter(F.coalesce(read["claims"], none), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+    return once(F.from_json(json_object(c), CLAIMS), lambda read: F.when(read["answer"].isNotNull(), F.struct(read["answer"].alias("answer"), kept(read).alias("claims"))))
 
 
 def strict_seconds(c: Column) -> Column:

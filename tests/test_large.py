@@ -133,3 +133,22 @@ def test_gold_places_by_equal_keys(spark):
     found, missed = intervals.gold_hits(units, gold)
     assert found.columns == missed.columns == gold.columns
     assert {x.n for x in found.collect()} == hit and sorted(x.n for x in missed.collect()) == sorted(set(range(120)) - hit)
+
+
+def test_first_json_object_by_pieces(spark):
+    """The object that a walk over all characters finds, of replies with any marks in any order."""
+    r = random.Random(17)
+    texts = ["".join(r.choice(['{', '}', '"', "\\", "a", " ", "\n", "é", "{}"]) for _ in range(r.randrange(1, 30))) for _ in range(600)] + ['{"a": "' + "x" * 100_000 + "\\n" * 50_000 + '"} b']
+
+    def first(text):
+        at = text.find("{")
+        depth, quoted, escaped = 0, False, False
+        for n, c in enumerate(text[at:] if at >= 0 else "", 1):
+            depth += (c == "{") - (c == "}") if not quoted else 0
+            quoted, escaped = (not quoted if c == '"' and not escaped else quoted), quoted and not escaped and c == "\\"
+            if depth == 0:
+                return text[at : at + n]
+        return None
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.json_object(F.col("t")).alias("j")).collect()
+    assert all(x.j == first(x.t) for x in got) and sum(x.j is not None for x in got) > 50
