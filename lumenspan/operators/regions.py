@@ -7,10 +7,14 @@ page, for boxes grow as they merge and so no plain closure of neighbours will do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import places as P
 from ..functions import text as T
@@ -21,6 +25,8 @@ CAPTION_GAP, COLUMN_SHARE, PROSE_WORDS = 120.0, 0.3, 12
 LEAST_HEIGHT, MOST_HEIGHT = 40.0, 420.0
 CLUSTER_GAP, LEAST_AREA, BACKDROP_SHARE = 12.0, 8000.0, 0.8
 LOGO_AREA, LOGO_CORNER = 15000.0, 100.0
+#: Up to so many boxes of a page are merged one after the other.
+IN_TURN = 2000
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
@@ -83,15 +89,36 @@ def fused(boxes: np.ndarray, gap: float) -> np.ndarray:
     return boxes
 
 
+def fused_in_turn(boxes: list[list[float]], gap: float) -> list[list[float]]:
+    """The same, one box after the other: each takes in all that it touches as it grows."""
+    out = []
+    for x0, y0, x1, y1 in boxes:
+        k = 0
+        while k < len(out):
+            a0, b0, a1, b1 = out[k]
+            if x0 <= a1 + gap and a0 <= x1 + gap and y0 <= b1 + gap and b0 <= y1 + gap:
+                x0, y0, x1, y1 = min(x0, a0), min(y0, b0), max(x1, a1), max(y1, b1)
+                out[k] = out[-1]
+                out.pop()
+                k = 0
+            else:
+                k += 1
+        out.append([x0, y0, x1, y1])
+    return out
+
+
 def merged(boxes: DataFrame, by: str = "page", gap: float = CLUSTER_GAP) -> DataFrame:
-    """(by, box): boxes(by, box) merged until no two are within the gap."""
+    """(by, box): boxes(by, box) merged until no two are within the gap. A batch has many pages: most hold few boxes."""
+    out = to_arrow_schema(StructType.fromDDL(f"{by} {dict(boxes.dtypes)[by]}, box array<double>"))
 
-    def over(group: pd.DataFrame) -> pd.DataFrame:
-        found = fused(np.array(group["box"].tolist(), np.float64), gap)
-        return pd.DataFrame({by: group[by].iloc[0], "box": sorted(found.tolist())})
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(fused_in_turn(x, gap) if len(x) <= IN_TURN else fused(np.array(x, np.float64), gap).tolist()) for x in batch.column(1).to_pylist()]
+            pages = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pages.cast(out.field(0).type), pa.array([b for x in found for b in x], out.field(1).type)], schema=out)
 
-    kind = dict(boxes.dtypes)[by]
-    return boxes.select(by, "box").groupBy(by).applyInPandas(over, f"{by} {kind}, box array<double>")
+    lists = boxes.select(by, "box").groupBy(by).agg(F.collect_list("box").alias("box"))
+    return lists.mapInArrow(over, f"{by} {dict(boxes.dtypes)[by]}, box array<double>")
 
 
 def figures(boxes: DataFrame, pages: DataFrame, by: str = "page", gap: float = CLUSTER_GAP) -> DataFrame:

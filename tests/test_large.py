@@ -152,3 +152,21 @@ def test_first_json_object_by_pieces(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.json_object(F.col("t")).alias("j")).collect()
     assert all(x.j == first(x.t) for x in got) and sum(x.j is not None for x in got) > 50
+
+
+def test_boxes_merge_in_turn():
+    from lumenspan.operators import regions
+
+    r = random.Random(19)
+    for _ in range(200):
+        boxes = [[x, y, x + r.randint(1, 30), y + r.randint(1, 30)] for x, y in ((r.randint(0, 200), r.randint(0, 200)) for _ in range(r.randint(1, 25)))]
+        assert sorted(regions.fused_in_turn([list(map(float, b)) for b in boxes], 5.0)) == sorted(regions.fused(np.array(boxes, float), 5.0).tolist())
+
+
+def test_regions_of_many_pages_are_batches(spark):
+    """Pages aren't groups of their own in Python."""
+    from lumenspan.operators import regions
+
+    d = spark.createDataFrame([(p, [float(k), 0.0, k + 1.0, 1.0]) for p in (None, *range(50)) for k in (0, 5, 40)], "page long, box array<double>")
+    m = regions.merged(d)
+    assert m.count() == 102 and "FlatMapGroups" not in m._jdf.queryExecution().executedPlan().toString()
