@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -16,6 +22,8 @@ under also such some any per via based different same other only time cost low h
 TERM = r"[A-Za-z][A-Za-z0-9\-]{2,}"
 PROMPT = "A technical conference talk. Terminology used: %s."
 MOST_TERMS = 75
+#: Terms that a task counts before it passes them on.
+MOST_COUNTED = 200_000
 #: Tokens ahead that a spoken word is looked for.
 AHEAD = 4
 
@@ -26,10 +34,46 @@ def distinctive_terms(texts: DataFrame, by: str, most: int = MOST_TERMS) -> Data
     A term is written with the most capitals it comes with, of equals the first way;
     jargon has a digit, a hyphen or a capital inside.
     """
-    found = texts.select(by, "nth", F.posexplode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("place", "written"))
-    rows = found.withColumn("key", F.lower("written")).where(~F.col("key").isin(EVERYDAY))
-    capitals = F.regexp_count("written", F.lit("[A-Z]"))
-    counted = rows.groupBy(by, "key").agg(F.countDistinct("nth").alias("n"), F.min_by("written", F.struct(-capitals, F.col("nth"), F.col("place"))).alias("term"))
+    # a text has a term once: rows are counted where they are read, unless a text comes in several
+    repeated = texts.groupBy(by, "nth").count().where("count > 1").limit(1).count() > 0
+    pattern, everyday, kinds = re.compile(TERM), frozenset(EVERYDAY), dict(texts.dtypes)
+    schema = f"`{by}` {kinds[by]}, key string, n long, capitals int, nth {kinds['nth']}, place int, written string"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, ways = {}, {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(*k, n, -ways[k][0], ways[k][1][1], *ways[k][2:]) for k, n in counts.items()]
+            counts.clear()
+            ways.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+        for batch in batches:
+            for group, nth, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places, first = {}, {}
+                for i, w in enumerate(pattern.findall(text or "")):
+                    if w not in places:
+                        places[w] = i
+                for w, i in places.items():
+                    key = w.lower()
+                    if key not in everyday:
+                        way = (-sum(c.isupper() for c in w) if key != w else 0, (nth is not None, nth), i, w)
+                        if key not in first or way < first[key]:
+                            first[key] = way
+                for key, way in first.items():
+                    k = (group, key)
+                    counts[k] = counts.get(k, 0) + 1
+                    if k not in ways or way < ways[k]:
+                        ways[k] = way
+                if counts and (repeated or len(counts) > MOST_COUNTED):
+                    yield told()
+        if counts:
+            yield told()
+
+    found = texts.select(by, "nth", "text").mapInArrow(over, schema)
+    n = F.countDistinct("nth") if repeated else F.sum("n")
+    counted = found.groupBy(by, "key").agg(n.alias("n"), F.min_by("written", F.struct(-F.col("capitals"), F.col("nth"), F.col("place"))).alias("term"))
     jargon = F.col("term").rlike("[0-9-]|^.+[A-Z]").cast("int")
     order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), F.desc(jargon), F.desc(F.length("key")), "key"))
     return counted.withColumn("rank", order).where(F.col("rank") <= most).select(by, "rank", "term")

@@ -170,3 +170,25 @@ def test_regions_of_many_pages_are_batches(spark):
     d = spark.createDataFrame([(p, [float(k), 0.0, k + 1.0, 1.0]) for p in (None, *range(50)) for k in (0, 5, 40)], "page long, box array<double>")
     m = regions.merged(d)
     assert m.count() == 102 and "FlatMapGroups" not in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinctive_terms_by_ties(spark):
+    """Terms at equal counts are told by how they are written; a text in several rows counts once."""
+    from lumenspan.operators import speech
+
+    r = random.Random(23)
+    words = ["alpha", "Alpha", "ALPHA", "gpu-9", "beta", "beTa", "gamma", "the", "x1y", "delta", "Delta", "omega"]
+    once = [(r.choice(["a", "b", None]), i, " ".join(r.choice(words) for _ in range(r.randrange(6)))) for i in range(30)]
+    for rows in (once, [*once, *once[:7], *(("a", i, "extra delta") for i in (1, 2))]):
+        found = {}
+        for by, nth, text in rows:
+            for place, w in enumerate(re.findall(speech.TERM, text)):
+                if w.lower() not in speech.EVERYDAY:
+                    found.setdefault((by, w.lower()), []).append((-sum(c.isupper() for c in w), nth, place, w))
+        for most in (2, 3, 50):
+            expected = set()
+            for by in ("a", "b", None):
+                terms = [(-len({n for _, n, _, _ in ways}), -bool(re.search("[0-9-]|^.+[A-Z]", min(ways)[3])), -len(k), k, min(ways)[3]) for (b, k), ways in found.items() if b == by]
+                expected |= {(by, i, t[-1]) for i, t in enumerate(sorted(terms)[:most], 1)}
+            got = speech.distinctive_terms(spark.createDataFrame(rows, "source string, nth long, text string"), "source", most).collect()
+            assert set(map(tuple, got)) == expected and len(got) == len(expected)
