@@ -27,11 +27,41 @@ def followed(links: DataFrame, types: tuple[str, ...] | None = FOLLOWED, min_sco
 
 def neighbours(links: DataFrame, types: tuple[str, ...] | None = FOLLOWED, min_score: float = 0.0, direction: str = "both") -> DataFrame:
     """(id, neighbour, link_type, score): the best link of each type to each neighbour; order by (-score, neighbour)."""
+    return sides(links, types, min_score, direction).groupBy("id", "neighbour", "link_type").agg(F.max("score").alias("score"))
+
+
+def sides(links: DataFrame, types: tuple[str, ...] | None = FOLLOWED, min_score: float = 0.0, direction: str = "both") -> DataFrame:
+    """(id, neighbour, link_type, score): every link from the ends that it is followed from, parallel ones too."""
     some = followed(links, types, min_score)
     out = some.select(F.col("src_id").alias("id"), F.col("dst_id").alias("neighbour"), "link_type", "score")
     back = some.select(F.col("dst_id").alias("id"), F.col("src_id").alias("neighbour"), "link_type", "score")
-    both = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return both.groupBy("id", "neighbour", "link_type").agg(F.max("score").alias("score"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+
+
+def _ranked(seeds: DataFrame) -> DataFrame:
+    """seeds(qid, id, score) with a score by their place among those of the question."""
+    w = Window.partitionBy("qid")
+    place = F.row_number().over(w.orderBy(F.desc("score"), F.col("id")))
+    return seeds.withColumn("score", (F.count("*").over(w) - place + 1) / F.count("*").over(w))
+
+
+def expanded_scores(seeds: DataFrame, links: DataFrame, units: DataFrame, hops: int = 1, decay: float = 0.5, normalise: bool = True) -> DataFrame:
+    """(qid, id, score, origin) as by expand(), without the ways: links are sides(), parallel ones too.
+
+    The greatest score is all that is kept of the ways to a unit, so that links are dealt
+    out once, by the unit that they lead from, and aren't aggregated before.
+    """
+    chosen = (_ranked(seeds) if normalise else seeds).select("qid", "id", F.col("score").cast("double").alias("score"), F.lit("seed").alias("origin"))
+    frontier, known = chosen, units.select("id").distinct()
+    steps = links.select(F.col("id").alias("_via"), F.col("neighbour").alias("id"), F.col("score").alias("_link"))
+    for _ in range(hops):
+        ways = frontier.select("qid", F.col("id").alias("_via"), F.col("score").alias("_from")).join(steps, "_via").join(known, "id", "left_semi")
+        best = ways.groupBy("qid", "id").agg(F.max(F.col("_from") * F.col("_link") * decay).alias("score")).withColumn("origin", F.lit("expanded"))
+        old = chosen.select("qid", "id", F.col("score").alias("_old"), F.col("origin").alias("_origin"))
+        better = best.join(old, ["qid", "id"], "left").where("_origin IS NULL OR (_origin = 'expanded' AND score > _old)").select("qid", "id", "score", "origin")
+        chosen = chosen.join(better.select("qid", "id"), ["qid", "id"], "left_anti").unionByName(better)
+        frontier = better
+    return chosen
 
 
 def expand(seeds: DataFrame, edges: DataFrame, units: DataFrame, hops: int = 1, decay: float = 0.5, normalise: bool = True, final: int | None = None) -> DataFrame:
@@ -43,9 +73,7 @@ def expand(seeds: DataFrame, edges: DataFrame, units: DataFrame, hops: int = 1,
     many of each question stay, by (-score, id).
     """
     w = Window.partitionBy("qid")
-    if normalise:
-        place = F.row_number().over(w.orderBy(F.desc("score"), F.col("id")))
-        seeds = seeds.withColumn("score", (F.count("*").over(w) - place + 1) / F.count("*").over(w))
+    seeds = _ranked(seeds) if normalise else seeds
     none = F.lit(None)
     chosen = seeds.select("qid", "id", F.col("score").cast("double").alias("score"), F.lit("seed").alias("origin"), none.cast("string").alias("via_seed"), none.cast("string").alias("via_link"), none.cast("double").alias("link_score"))
     frontier = chosen

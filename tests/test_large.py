@@ -192,3 +192,17 @@ def test_distinctive_terms_by_ties(spark):
                 expected |= {(by, i, t[-1]) for i, t in enumerate(sorted(terms)[:most], 1)}
             got = speech.distinctive_terms(spark.createDataFrame(rows, "source string, nth long, text string"), "source", most).collect()
             assert set(map(tuple, got)) == expected and len(got) == len(expected)
+
+
+def test_expanded_scores_are_those_of_expand(spark):
+    from lumenspan.operators import graph
+
+    r = random.Random(31)
+    links = spark.createDataFrame([(f"n{r.randrange(30)}", f"n{r.randrange(34)}", r.choice(["deictic", "figure_text", "same_slide"]), r.randrange(1, 9) / 10) for _ in range(150)], "src_id string, dst_id string, link_type string, score double")
+    units = spark.createDataFrame([(f"n{i}",) for i in range(30)], "id string")
+    seeds = spark.createDataFrame([(q, f"n{r.randrange(30)}", float(q)) for q in range(6) for _ in range(2)], "qid int, id string, score double").distinct()
+    for hops in (1, 2, 3):
+        for normalise in (True, False):
+            want = graph.expand(seeds, graph.neighbours(links), units, hops, normalise=normalise).select("qid", "id", "score", "origin")
+            got = graph.expanded_scores(seeds, graph.sides(links), units, hops, normalise=normalise)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
