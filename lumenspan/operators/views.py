@@ -73,13 +73,22 @@ def by_use(units: DataFrame, audio_file: str | None = None, deck_file: str | Non
 
 def corpus_stats(links: DataFrame, units: DataFrame) -> DataFrame:
     """(name, n): links by type, those kept, dropped, given and between files. What is kept and dropped must add up to what was given."""
-    kept, dropped = graph.checked(links, units)
-    known = kept.groupBy(F.concat(F.lit("type "), "link_type").alias("name")).agg(F.count("*").alias("n"))
-    crossing = graph.file_pairs(links, units).agg(F.lit("cross_file").alias("name"), F.count("file_a").alias("n"))
-    total, lost, given = (d.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for d, name in ((kept, "total"), (dropped, "dropped"), (links, "links")))
-    sums = total.unionByName(lost).agg(F.sum("n").alias("_s")).crossJoin(given)
-    checked = sums.select("name", F.when(F.col("_s") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("links kept and dropped don't add up"))).cast("long").alias("n"))
-    return graph.union_all([known, total, lost, checked, crossing])
+    # every link meets its two ends once; of a unit in several rows one counts, and all may lie in another file
+    n = F.row_number().over(Window.partitionBy("id").orderBy("source_file"))
+    ends = units.where("id IS NOT NULL").select("id", "source_file", n.alias("_n"))
+    side = lambda end, file, nth: ends.select(F.col("id").alias(end), F.col("source_file").alias(file), F.col("_n").alias(nth))
+    met = links.select("src_id", "dst_id", "link_type").join(side("src_id", "_x", "_a"), "src_id", "left").join(side("dst_id", "_y", "_b"), "dst_id", "left")
+    one = (F.coalesce("_a", F.lit(1)) == 1) & (F.coalesce("_b", F.lit(1)) == 1)
+    kept = one & F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    counts = met.groupBy("link_type").agg(F.count_if(one).alias("all"), F.count_if(kept).alias("kept"), F.count_if(F.col("_x") != F.col("_y")).alias("crossing"))
+    cell = lambda name, n: F.struct(name.alias("name"), n.alias("n"))
+    k, a = F.col("kept"), F.col("all")
+    told = counts.select(F.explode(F.array(cell(F.concat(F.lit("type "), "link_type"), k), *(cell(F.lit(c), v) for c, v in (("total", k), ("dropped", a - k), ("links", a), ("cross_file", F.col("crossing")))))).alias("c")).select("c.*")
+    none = links.sparkSession.createDataFrame([(c, 0) for c in ("total", "dropped", "links", "cross_file")], "name string, n long")
+    sums = told.unionByName(none).groupBy("name").agg(F.sum("n").alias("n")).where(F.coalesce(F.col("name").isin("total", "dropped", "links", "cross_file"), F.lit(False)) | (F.col("n") > 0))
+    given = links.agg(F.count("*").alias("_given"))
+    wrong = (F.col("name") == "links") & (F.col("n") != F.col("_given"))
+    return sums.crossJoin(F.broadcast(given)).select("name", F.when(wrong, F.raise_error(F.lit("links kept and dropped don't add up")).cast("long")).otherwise(F.col("n")).alias("n"))
 
 
 def pair_gates(gates: DataFrame) -> DataFrame:

@@ -206,3 +206,21 @@ def test_expanded_scores_are_those_of_expand(spark):
             want = graph.expand(seeds, graph.neighbours(links), units, hops, normalise=normalise).select("qid", "id", "score", "origin")
             got = graph.expanded_scores(seeds, graph.sides(links), units, hops, normalise=normalise)
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_corpus_stats_meet_ends_once(spark):
+    """Links are joined with each of their ends once; unknown ends, units in two rows and files that are null count as before."""
+    from lumenspan.operators import views
+
+    r = random.Random(37)
+    files = [(f"n{i % 14}", r.choice(["a", "b", None])) for i in range(18)]
+    rows = [(f"n{r.randrange(17)}", f"n{r.randrange(17)}", r.choice("xyz")) for _ in range(80)]
+    stats = views.corpus_stats(spark.createDataFrame(rows, "src_id string, dst_id string, link_type string"), spark.createDataFrame(files, "id string, source_file string"))
+    known = {i for i, _ in files}
+    kept = [x for x in rows if x[0] in known and x[1] in known]
+    crossing = sum(a is not None and b is not None and a != b for s, d, _ in rows for i, a in files if i == s for j, b in files if j == d)
+    expected = {"total": len(kept), "dropped": len(rows) - len(kept), "links": len(rows), "cross_file": crossing} | {f"type {t}": sum(x[2] == t for x in kept) for t in "xyz"}
+    assert {x.name: x.n for x in stats.collect()} == expected and stats.count() == len(expected)
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 2
+    empty = views.corpus_stats(spark.createDataFrame([], "src_id string, dst_id string, link_type string"), spark.createDataFrame(files, "id string, source_file string"))
+    assert {x.name: x.n for x in empty.collect()} == {"total": 0, "dropped": 0, "links": 0, "cross_file": 0}
