@@ -21,12 +21,9 @@ def dense_topk(spark, sf):
 def knn_per_label(spark, sf):
     """Of every twentieth vector the three nearest others of its label."""
     v = _vectors(spark, sf)
-    asked = v.where("pos % 20 = 0").select(F.col("pos").alias("qid"), F.col("label").alias("_l"), "embedding")
-    pairs = asked.withColumnRenamed("embedding", "_q").join(v, F.col("_l") == F.col("label")).where("qid != pos")
-    from ...functions.stats import dot
-
-    scored = pairs.select("qid", "pos", F.round(dot(F.col("_q"), F.col("embedding")), 6).alias("score"))
-    return ranking.top_k(scored, "qid", 3, F.desc("score"), "pos").withColumn("rank", F.col("rank").cast("long"))
+    v = v.withColumnRenamed("embedding", "vector")
+    asked = v.where("pos % 20 = 0").withColumnRenamed("pos", "qid")
+    return ranking.nearest_in_group(asked, v, "label", 3).select("qid", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def pair_cosine_diag(spark, sf):

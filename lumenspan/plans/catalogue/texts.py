@@ -20,13 +20,7 @@ def df_idf(spark, sf):
 def rare_term_overlap(spark, sf):
     """Of each benchmark passage the five documents that share most of its idf mass."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    idf = ranking.smoothed_idf(docs).select("term", "idf")
-    asked = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(idf, "term")
-    held = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    mass = asked.groupBy("item_id").agg(F.sum("idf").alias("mass"))
-    shared = held.join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("shared"))
-    scored = shared.join(mass, "item_id").select("item_id", "doc_id", F.round(F.least(F.lit(1.0), F.col("shared") / F.col("mass")), 6).alias("overlap"))
-    return ranking.top_k(scored, "item_id", 5, F.desc("overlap"), "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    return ranking.overlap_top_k(docs, items, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 def chunk_windows(spark, sf):

@@ -194,6 +194,42 @@ def test_distinctive_terms_by_ties(spark):
             assert set(map(tuple, got)) == expected and len(got) == len(expected)
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """The nearest by small blocks of queries, units and tiles, with ties by place, are those of all pairs."""
+    from lumenspan.operators import ranking
+
+    monkeypatch.setattr(ranking, "QUERIES", 3)
+    monkeypatch.setattr(tiles.tiled, "__defaults__", (7, ([], [])))
+    rows = [(i, i % 3, v) for i, v in enumerate(vectors(60, 8))]
+    d = spark.createDataFrame(rows, "pos long, label int, vector array<double>")
+    score = {(a, b): round(float(np.dot(x, y)), 6) for a, _, x in rows for b, _, y in rows}
+    nearest = lambda a, others: {(a, b, r) for r, b in enumerate(sorted(others, key=lambda b: (-score[a, b], b))[:4], 1)}
+    own = set().union(*(nearest(a, [b for b, m, _ in rows if m == l and b != a]) for a, l, _ in rows))
+    got = ranking.nearest_in_group(d.withColumnRenamed("pos", "qid"), d, "label", 4).collect()
+    assert {(r.qid, r.pos, r.rank) for r in got} == own and len(got) == 240
+    every = set().union(*(nearest(a, [b for b, _, _ in rows]) for a, _, _ in rows[:10]))
+    got = ranking.dense_top_k(d, d.where("pos < 10").withColumnRenamed("pos", "qid"), 4, "vector").collect()
+    assert {(r.qid, r.pos, r.rank) for r in got} == every and len(got) == 40
+
+
+def test_overlap_of_repeated_documents(spark):
+    """Documents in one row each give what the join of terms gives, without it."""
+    from lumenspan.operators import ranking
+
+    r = random.Random(29)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n)) if n else None
+    docs = spark.createDataFrame([(i, text(r.randrange(6))) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text(5)) for i in range(6)] + [(6, "zzz"), (7, None)], "item_id long, text string")
+    plain = {}
+    idf = {t: np.log(1 + 40 / (1 + n)) for t in "abcdefgh" if (n := docs.where(F.contains("text", F.lit(t))).count())}
+    for i, words in ((x.item_id, {w for w in (x.text or "").split() if w in idf}) for x in items.collect()):
+        scored = [(-round(min(1.0, sum(idf[w] for w in both) / sum(idf[w] for w in words)), 6), d.doc_id) for d in docs.collect() if (both := words & set((d.text or "").split()))]
+        plain |= {(i, doc, n): -s for n, (s, doc) in enumerate(sorted(scored)[:5], 1)}
+    got = {(x.item_id, x.doc_id, x.rank): x.overlap for x in ranking.overlap_top_k(docs, items, 5).collect()}
+    assert got == plain and len(got) > 20
+    assert ranking.overlap_top_k(docs.unionByName(docs.where("doc_id < 3")), items, 5).count() == len(got)
+
+
 def test_expanded_scores_are_those_of_expand(spark):
     from lumenspan.operators import graph
 
