@@ -211,9 +211,13 @@ def normal(c: Column) -> Column:
 
 def span_in_text(span: Column, text: Column) -> Column:
     """Whether a quote stands in a text; pieces between '...' must stand in order. An empty quote never does."""
-    hay = normal(text)
+    return span_in_normal(span, normal(text))
+
+
+def span_in_normal(span: Column, hay: Column) -> Column:
+    """span_in_text() of a text in its normal form."""
     pieces = F.filter(F.transform(F.split(span, r"\.\.\.|…"), normal), lambda p: p != "")
-    place = F.aggregate(pieces, F.lit(1), lambda at, p: F.when(at == 0, 0).otherwise(F.when(_locate(p, hay, at) > 0, _locate(p, hay, at) + F.length(p)).otherwise(0)))
+    place = F.aggregate(pieces, F.lit(1), lambda at, p: F.when(at == 0, 0).otherwise(once(_locate(p, hay, at), lambda found: F.when(found > 0, found + F.length(p)).otherwise(0))))
     return (F.size(pieces) > 0) & (place > 0)
 
 

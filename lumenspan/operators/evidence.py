@@ -116,23 +116,28 @@ def quotable(claim: Column, text: Column) -> Column:
     return T.span_in_text(claim, text)
 
 
-def quoted_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
+def quoted_spans(docs: DataFrame, passages: DataFrame, exact: bool = False) -> DataFrame:
     """(doc_id, item_id) of docs(doc_id, text) that hold a passage(item_id, text), as span_in_text() finds it.
 
-    A passage's inner words must all be words of the document, so documents are joined by
-    the one that fewest of them have. The first and last word may be parts of words: a
+    With exact, only those whose text has the passage as it stands. Passages are a stated
+    set, which every task gets: texts aren't shuffled. A passage's inner words must all be
+    words of the document, so documents are looked at by the one that comes least often. The first and last word may be parts of words: a
     passage without an inner word is held against every document.
     """
     inner = F.filter(F.flatten(F.transform(F.split("text", r"\.\.\.|…"), lambda p: F.slice(F.split(T.normal(p), " "), 2, F.greatest(F.size(F.split(T.normal(p), " ")) - 2, F.lit(0))))), lambda w: w != "")
     asked = passages.select("item_id", F.col("text").alias("passage"), F.array_distinct(inner).alias("words"))
     wanted = asked.select("item_id", F.explode("words").alias("word"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(T.normal(F.col("text")), " "))).alias("word")).join(wanted.select("word").distinct(), "word")
+    plain = docs.select("doc_id", *(["text"] if exact else []), T.normal(F.col("text")).alias("_hay"))
+    held = plain.select(F.explode(F.split("_hay", " ")).alias("word")).join(F.broadcast(wanted.select("word").distinct()), "word")
     # a word that no document has makes its passage stand in none
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     rarest = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
-    near = held.join(rarest, "word").select("doc_id", "item_id").distinct().join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", "passage"), "item_id")
-    bare = docs.select("doc_id", "text").crossJoin(F.broadcast(asked.where(F.size("words") == 0).select("item_id", "passage")))
-    return near.unionByName(bare).where(T.span_in_text(F.col("passage"), F.col("text"))).select("doc_id", "item_id").distinct()
+    sought = rarest.agg(F.collect_set("word").alias("_sought"))
+    found = plain.crossJoin(F.broadcast(sought)).select(*plain.columns, F.explode(F.array_intersect(F.split("_hay", " "), "_sought")).alias("word"))
+    near = found.join(F.broadcast(rarest.join(asked.select("item_id", "passage"), "item_id")), "word").select(*plain.columns, "item_id", "passage")
+    bare = plain.crossJoin(F.broadcast(asked.where(F.size("words") == 0).select("item_id", "passage")))
+    met = near.unionByName(bare).where(T.span_in_normal(F.col("passage"), F.col("_hay")))
+    return (met.where(F.contains("text", F.col("passage"))) if exact else met).select("doc_id", "item_id").distinct()
 
 
 def unit_votes(votes: DataFrame) -> DataFrame:

@@ -53,8 +53,7 @@ def recall_at_k(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     found = ranking.Bm25(indexed(spark, sf)).top_k(items.select(F.col("item_id").alias("qid"), "text"), 8)
     hits = found.select("qid", F.floor(F.col("pos") / (1 << 20)).cast("string").alias("id")).distinct()
-    near = evidence.quoted_spans(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items.withColumnRenamed("text", "passage"), "item_id")
-    gold = near.where(F.contains("text", F.col("passage"))).select(F.col("item_id").alias("qid"), F.col("doc_id").cast("string").alias("id")).distinct()
+    gold = evidence.quoted_spans(docs, items, exact=True).select(F.col("item_id").alias("qid"), F.col("doc_id").cast("string").alias("id"))
     scored = evaluation.recall_precision(hits, gold)
     return scored.where(~F.isnan("recall")).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 

@@ -260,3 +260,14 @@ def test_corpus_stats_meet_ends_once(spark):
     assert stats._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 2
     empty = views.corpus_stats(spark.createDataFrame([], "src_id string, dst_id string, link_type string"), spark.createDataFrame(files, "id string, source_file string"))
     assert {x.name: x.n for x in empty.collect()} == {"total": 0, "dropped": 0, "links": 0, "cross_file": 0}
+
+
+def test_quoted_spans_leave_texts_where_they_are(spark):
+    """Passages go to the texts; with exact, case and marks count too."""
+    docs = spark.createDataFrame([(1, "The Quick, brown fox."), (1, "other words"), (2, "the quick brown fox"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Quick, brown"), (2, "quick brown fox"), (3, "the zebra fox"), (4, None)], "item_id long, text string")
+    spans = evidence.quoted_spans(docs, items)
+    assert sorted(map(tuple, spans.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert sorted(map(tuple, evidence.quoted_spans(docs, items, exact=True).collect())) == [(1, 1), (2, 2)]
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert not any("_hay" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
